@@ -242,14 +242,14 @@ class LineIndex:
         lost = self._maybe_shared().join(shared, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drops"))
 
-    def dedupe(self, df: DataFrame, texts: bool = True) -> DataFrame:
-        """(doc_id, n_lines, n_dropped, kept_sha256[, kept]) of each row of ``df``."""
+    def dedupe(self, df: DataFrame, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(doc_id, n_lines, n_dropped, kept_sha256[, kept]) and the columns ``carry`` of each row of ``df``."""
         import xxhash
 
         min_chars = self.min_chars
         drops = self.droppable().withColumnRenamed("doc_id", "of")
-        rows = df.select("doc_id", "text")
-        rows = rows.join(drops, rows["doc_id"].eqNullSafe(drops["of"]), "left").select("doc_id", "text", "drops")
+        rows = df.select("doc_id", "text", *carry)
+        rows = rows.join(drops, rows["doc_id"].eqNullSafe(drops["of"]), "left").select("doc_id", "text", "drops", *carry)
 
         def work(batches):
             digest = xxhash.xxh3_128_digest
@@ -276,12 +276,14 @@ class LineIndex:
                         if texts:
                             kept.append(t)
                     cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string())][: 4 + texts], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"][: 4 + texts])
+                    cols += [pa.array(kept, pa.string())] * texts + [b.column(c) for c in carry]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_lines", "n_dropped", "kept_sha256", *["kept"] * texts, *carry])
 
         kind = df.schema["doc_id"].dataType.simpleString()
-        return rows.mapInArrow(work, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * texts)
+        more = ["kept string"] * texts + [f"{c} {df.schema[c].dataType.simpleString()}" for c in carry]
+        return rows.mapInArrow(work, ", ".join([f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string", *more]))
 
 
-def dedupe_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, texts: bool = True) -> DataFrame:
+def dedupe_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Indexes ``df(doc_id, text)`` and drops its shared lines; other columns are not read."""
-    return LineIndex.create(df, min_chars, min_docs).dedupe(df, texts)
+    return LineIndex.create(df, min_chars, min_docs).dedupe(df, texts, carry)

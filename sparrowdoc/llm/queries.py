@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, orc_tokens, packing, telephony
+from . import bpe, license_scan, line_dedup, ngram_join, orc_tokens, packing, spotsigs, telephony, tool_calls, toxicity
 from .common import documents
 
 
@@ -19,6 +19,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(documents(spark, sf_dir))
+
+
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.store_and_catalogue(documents(spark, sf_dir))
 
@@ -35,14 +43,30 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).withColumn("spans", F.to_json("spans"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tool_calls.format_chats(calls, results, {"reply": tool_calls.REPLY_SCHEMA})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_telephony": op1_telephony,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_spotsigs": op4_spotsigs,
         "op5_orc_tokens": op5_orc_tokens,
         "op6_prefix_bpe": op6_prefix_bpe,
         "op7_line_dedup": op7_line_dedup,
         "op8_license_scan": op8_license_scan,
+        "op9_toxicity": op9_toxicity,
+        "op10_tool_calls": op10_tool_calls,
     }
 
 
