@@ -19,12 +19,20 @@ def register(name: str, run: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
+    load_all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load_all()
     return dict(_ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load_all()
     return _QUERIES["bm25_topk"](spark, sf_dir)
+
+
+def load_all() -> None:
+    """Imports the plan modules; each registers its queries."""
+    from sparrowdoc.plans import lexical, vectors  # noqa: F401
