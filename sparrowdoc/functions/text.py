@@ -107,10 +107,10 @@ def format_bytes(n: Column) -> Column:
     """1.0 KB and so on, one decimal."""
     out = None
     for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        text = F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(f" {unit}"))
+        text = F.concat(F.round(n / float(1024**i), 1).cast("string"), F.lit(f" {unit}"))
         cond = n < 1024 ** (i + 1)
         out = F.when(cond, text) if out is None else out.when(cond, text)
-    return out.otherwise(F.concat(F.format_string("%.1f", n / float(1024**5)), F.lit(" PB")))
+    return out.otherwise(F.concat(F.round(n / float(1024**5), 1).cast("string"), F.lit(" PB")))
 
 
 def extension_kind(c: Column) -> Column:
