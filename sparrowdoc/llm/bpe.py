@@ -14,12 +14,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import default_tokenizer, slices, texts_of
-from .encoding import ChunkEncoder, byte_letters
+from .common import default_tokenizer, slices
+from .encoding import SLICE, ChunkEncoder, byte_letters, joined
 
 NEVER = 1 << 60
 
@@ -171,6 +172,20 @@ class PrefixEncoder(ChunkEncoder):
         tokenizer has no decoder, so the pieces stand side by side, a space between."""
         return " ".join(map(self.pieces.__getitem__, ids))
 
+    def encode_shown(self, texts: pa.Array) -> tuple[list[bytes], list[str]]:
+        """Ids of each text, and their decoded text, made of the chunks' decoded texts."""
+        offsets, number, chunks = self.pieces_of(texts)
+        known = self.known(chunks)
+        shown = [self.shown[k] if k in self.shown else self._show(k) for k in known]
+        raw = joined(offsets, pa.array(known, pa.binary()).take(number), b"")
+        return raw.to_pylist(), joined(offsets, pa.array(shown, pa.string()).take(number), " ").to_pylist()
+
+    def _show(self, ids: bytes) -> str:
+        if len(self.shown) > self.memo_limit:
+            self.shown.clear()
+        found = self.shown[ids] = self.decode(array("I", ids).tolist())
+        return found
+
 
 @functools.lru_cache(maxsize=2)
 def prefix_encoder(path: str) -> PrefixEncoder:
@@ -192,13 +207,12 @@ def encode_decode(df: DataFrame, tokenizer: str | None = None, ids: bool = True)
 
         enc = prefix_encoder(path)
         for whole in batches:
-            for b in slices(whole, "text"):
-                raw = enc.encode(texts_of(b))
-                lists = [np.frombuffer(r, "<u4") for r in raw]
-                shown = [enc.decode(x.tolist()) for x in lists]
+            for b in slices(whole, "text", SLICE):
+                raw, shown = enc.encode_shown(b.column("text"))
+                lists = [np.frombuffer(r, "<u4") for r in raw] if ids else []
                 cols = [
                     b.column("doc_id"),
-                    pa.array([len(x) for x in lists], pa.int64()),
+                    pa.array([len(r) // 4 for r in raw], pa.int64()),
                     pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
                     pa.array([hashlib.sha256(s.encode()).hexdigest() for s in shown], pa.string()),
                 ]

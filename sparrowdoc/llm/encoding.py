@@ -2,7 +2,8 @@
 
 The tokenizer never forms a token across white space, so the ids of a text are
 the ids of its white-space chunks, one after the other. Natural text repeats
-its chunks, so each distinct one is worked out once for a worker.
+its chunks, so each distinct one is worked out once for a worker; cutting the
+texts, numbering the chunks and joining their ids is columnar.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ import re
 import sys
 from array import array
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import one_thread
 
 #: Chunks held before the memo ages; the generation before it is kept too.
 MEMO_LIMIT = 300_000
 WORD_LIMIT = 150_000
-#: ``str.split`` cuts at these, the tokenizer's pattern doesn't.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Bytes of text encoded together: the more, the fewer distinct chunks a byte.
+SLICE = 16 << 20
+#: Below U+0250, white space beyond ASCII and the letter whose lower case isn't one character.
+RARE = re.compile("[\x85\xa0İ]")
 #: The tokenizer's own pattern, for lower-cased chunks without white space
 #: whose characters are all below U+0250 (where NFC changes nothing).
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|[\W_]+")
@@ -44,7 +50,7 @@ class ChunkEncoder:
 
     ``word_ids`` gives the ids of one pre-token; the default asks the
     library's BPE model. Chunks outside the simple alphabet go through the
-    library's normaliser and pre-tokenizer, texts with odd separators too.
+    library's normaliser and pre-tokenizer.
     """
 
     def __init__(self, path: str, memo_limit: int = MEMO_LIMIT, word_limit: int = WORD_LIMIT):
@@ -96,27 +102,42 @@ class ChunkEncoder:
         return {c: b for b, c in self.letters.items()}
 
     def _chunk(self, chunk: str) -> bytes:
-        if (chunk.isascii() or (max(chunk) < "ɐ" and "İ" not in chunk)) and "<|" not in chunk:
+        if (chunk.isascii() or (max(chunk) < "ɐ" and not RARE.search(chunk))) and "<|" not in chunk:
             chunk = chunk.lower()
             if chunk.isalpha():
                 return self._word(chunk)
             return b"".join(map(self._word, WORDS.findall(chunk)))
         return self._any(chunk)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """One bytes object per text; the same ids as ``Tokenizer.encode``."""
-        split = [t.split() for t in texts]
-        distinct: set[str] = set().union(*split) if split else set()
+    def pieces_of(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, list[str]]:
+        """Offsets of the texts' chunks, each chunk's number, and the distinct chunks."""
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.fill_null("")))
+        coded = lists.flatten().dictionary_encode()
+        return lists.offsets, coded.indices, coded.dictionary.to_pylist()
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, through the memo and the generation before it."""
         memo = self.memo
-        missing = [c for c in distinct if c not in memo]
-        if len(memo) + len(missing) > self.memo_limit:
+        if len(memo) + len(chunks) > self.memo_limit:
             self.aged, memo = memo, {}
-            self.memo, missing = memo, list(distinct)
-        aged = self.aged
-        for c in missing:
-            memo[c] = aged[c] if c in aged else self._chunk(c)
-        get = memo.__getitem__
-        return [self._any(t) if any(s in t for s in SEPARATORS) else b"".join(map(get, chunks)) for t, chunks in zip(texts, split, strict=True)]
+            self.memo = memo
+        aged, out = self.aged, []
+        for c in chunks:
+            found = memo.get(c)
+            if found is None:
+                found = memo[c] = aged[c] if c in aged else self._chunk(c)
+            out.append(found)
+        return out
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Binary array with each text's ids; the same as ``Tokenizer.encode``. Null is empty."""
+        offsets, number, chunks = self.pieces_of(texts)
+        return joined(offsets, pa.array(self.known(chunks), pa.binary()).take(number), b"")
+
+
+def joined(offsets: pa.Array, pieces: pa.Array, between: bytes | str) -> pa.Array:
+    """The pieces of each list, one after the other."""
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, pieces), between)
 
 
 @functools.lru_cache(maxsize=2)

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, new_path, slices, texts_of
-from .encoding import encoder
+from .common import default_tokenizer, new_path, slices
+from .encoding import SLICE, encoder
 
 #: ORC writer settings: stripe of 64 MB, an index entry for 1000 rows.
 STRIPE_BYTES = 64 << 20
@@ -33,8 +33,8 @@ def encode(df: DataFrame, end_id: int, tokenizer: str | None = None) -> DataFram
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for b in slices(whole, "text"):
-                raw = [r + end for r in enc.encode(texts_of(b))]
+            for b in slices(whole, "text", SLICE):
+                raw = [r + end for r in enc.encode(b.column("text")).to_pylist()]
                 sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))

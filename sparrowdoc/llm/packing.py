@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, materialise, slices, texts_of
-from .encoding import encoder
+from .common import default_tokenizer, materialise, slices
+from .encoding import SLICE, encoder
 
 CAPACITY = 4096
 #: Items that one partition packs: enough variety that few bins stay underfull.
@@ -40,10 +40,10 @@ def tokenise_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = 1, to
         end = end_id.to_bytes(4, "little")
         step = 4 * capacity
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 rows = [
                     (i, at // step, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step]))
-                    for i, raw in enumerate(r + end for r in enc.encode(texts_of(b)))
+                    for i, raw in enumerate(r + end for r in enc.encode(b.column("text")).to_pylist())
                     for at in range(0, len(raw), step)
                 ]
                 i, piece, start, length, crc = zip(*rows, strict=True)
