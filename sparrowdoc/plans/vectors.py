@@ -72,11 +72,11 @@ register(
 
 
 def probed(s: SparkSession, d: str) -> DataFrame:
-    """Neighbours by probing three of the cells around the labels' mean vectors; every vector is filed."""
+    """Neighbours by probing eight of the ten cells around the labels' mean vectors; every vector is filed."""
     v = vectors(s, d)
     centroids = vector.mean_vectors(v, "label").withColumnRenamed("label", "cell")
     filed = vector.in_cells(v, centroids, 1).withColumn("cell", F.element_at("cells", 1))
-    asked = vector.in_cells(queries(s, d), centroids, 3)
+    asked = vector.in_cells(queries(s, d), centroids, 8)
     return vector.knn(filed, asked, 10, probe=True).withColumn("rank", F.col("rank").cast("long"))
 
 
