@@ -13,7 +13,9 @@ pair meets in a band), and only points in one file are compared:
    on their n-grams;
 2. then, in files whose points are still in different components, every other
    pair through an R-tree over the points whose nodes are skipped by the same
-   bound.
+   bound. It goes in rounds: a point first meets its few likeliest partners,
+   and four times as many in each round, while links found so far join components.
+   The rounds end when no point has partners left that it has not met.
 
 Nothing is dropped: a link is missed by neither step, and pairs already in one
 component need no look, because the result is components.
@@ -40,6 +42,8 @@ SEND_POINTS = 200_000
 #: Ids sent to every task at most.
 SEND_IDS = 1_000_000
 FAN = 32
+#: Partners that a point meets in the first round.
+FIRST_WIDTH = 2
 
 
 # ---- sets -------------------------------------------------------------------
@@ -310,11 +314,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return joined.mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets of one file and different components whose bound allows a link.
+def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """(a, b, more): pairs of sets of one file and different components whose bound allows a link.
 
     ``rows(file, set, comp)``: the files' sets but their heads. Each file is one
-    R-tree; a file's points are 264 bytes each.
+    R-tree; a file's points are 264 bytes each. A set gives at most ``width``
+    pairs a file, those with the highest bound; ``more`` tells that it has others.
     """
     n_points = points.count()
     sent = None
@@ -328,20 +333,20 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataF
         rows = rows.join(points, "set")
 
     def pairs_of(names, comps, sizes, matrix):
-        if len(names) <= FAN:
-            tree = None
-        else:
-            tree = CountRTree(matrix, sizes, num, den)
+        tree = CountRTree(matrix, sizes, num, den) if len(names) > FAN else None
         for i in range(len(names)):
-            if tree is None:
-                j = np.arange(i + 1, len(names))
-                j = j[comps[j] != comps[i]]
-                j = j[bound(matrix[i], int(sizes[i]), matrix[j], sizes[j]) >= needed(int(sizes[i]), sizes[j], num, den)] if len(j) else j
-            else:
-                j = tree.near(matrix[i], int(sizes[i]))
-                j = j[(comps[j] != comps[i]) & (j > i)]
+            n = int(sizes[i])
+            j = np.arange(i + 1, len(names)) if tree is None else tree.near(matrix[i], n)
+            j = j[(comps[j] != comps[i]) & (j > i)]
+            if not len(j):
+                continue
+            spare = bound(matrix[i], n, matrix[j], sizes[j]) - needed(n, sizes[j], num, den)
+            j, spare = j[spare >= 0], spare[spare >= 0]
+            more = len(j) > width
+            if more:
+                j = j[np.argsort(-spare, kind="stable")[:width]]
             for x in names[j].tolist():
-                yield (int(names[i]), x) if names[i] < x else (x, int(names[i]))
+                yield (int(names[i]), x, more) if names[i] < x else (x, int(names[i]), more)
 
     def work(batches):
         found: set = set()
@@ -362,9 +367,9 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataF
             found.update(pairs_of(names, comps, sizes, matrix))
 
         def give():
-            a, b = zip(*found, strict=True)
+            a, b, more = zip(*found, strict=True)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
 
         for b in batches:
             f = b.column("file").to_numpy()
@@ -387,7 +392,7 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataF
             yield give()
 
     dealt = rows.repartition("file").sortWithinPartitions("file")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -409,14 +414,22 @@ def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
     links = materialise(_verified(_within_bound(stars, points, num, den), texts, k, num, den), "ngram-links")
     named = texts.select("set", "rep")
     labels = components(links)
-    comp = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("comp"))
-    rest = members.where(F.col("set") != F.col("head")).select("file", "set").join(comp, "set")
-    mixed = rest.groupBy("file").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("file")
-    pairs = _open_pairs(rest.join(mixed, "file", "left_semi"), points, num, den)
-    more = materialise(_verified(pairs, texts, k, num, den), "ngram-links")
-    if more.limit(1).count():
-        # The first labels stand for the links already found.
-        labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    rest = members.where(F.col("set") != F.col("head")).select("file", "set")
+    tested, width = None, FIRST_WIDTH
+    while True:
+        comp = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("comp"))
+        placed = rest.join(comp, "set")
+        mixed = placed.groupBy("file").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("file")
+        found = materialise(_open_pairs(placed.join(mixed, "file", "left_semi"), points, num, den, width), "ngram-pairs")
+        new = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        more = materialise(_verified(new, texts, k, num, den), "ngram-links")
+        if more.limit(1).count():
+            # The labels stand for the links already found.
+            labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if not found.where("more").limit(1).count():
+            break
+        tested = found.select("a", "b") if tested is None else tested.unionByName(new)
+        width *= 4
     smallest = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("smallest"))
     out = sets.join(smallest, "set", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
