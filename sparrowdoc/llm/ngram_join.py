@@ -9,8 +9,8 @@ are filed under every block's counts (by bands of set size, so that a linked
 pair meets in a band), and only points in one file are compared:
 
 1. each with the file's first point; the overlap is bounded by the summed
-   minima of the coordinates, and only pairs whose bound passes are verified
-   on their n-grams;
+   minima of the coordinates, first of few and then of as many as suit the
+   sets' size, and only pairs whose bounds pass are verified on their n-grams;
 2. then, in files whose points are still in different components, every other
    pair through an R-tree over the points whose nodes are skipped by the same
    bound. It goes in rounds: a point first meets its few likeliest partners,
@@ -35,13 +35,16 @@ from .common import materialise, slices
 from .components import components
 from .license_scan import WordHash, mix, rolling
 
-#: Coordinates of a point, 8 bits each.
+#: Coordinates of a point, 8 bits each. Fine points of larger sets have a power of two as many.
 GROUPS = 256
+FINEST = 1 << 15
 #: Points sent to every task at most (264 bytes each); more are joined to their rows.
 SEND_POINTS = 200_000
 #: Ids sent to every task at most.
 SEND_IDS = 1_000_000
 FAN = 32
+#: Entries packed together, and entries that a task sorts.
+PACKED, SORTED = 1_000_000, 2_000_000
 #: Partners that a point meets in the first round.
 FIRST_WIDTH = 2
 
@@ -60,8 +63,16 @@ def ngram_set(text: str | None, k: int, memo: WordHash) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set in each group, modulo 256."""
-    return np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint8)
+    """Counts of the set in each group, modulo 256; a set has about two n-grams a group."""
+    groups = GROUPS
+    while groups < FINEST and 2 * groups < len(s):
+        groups *= 2
+    return np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint8)
+
+
+def folded(p: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The point over fewer groups: groups whose numbers agree modulo ``groups`` are one."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint8)
 
 
 def bound(p: np.ndarray, n: int, q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -195,15 +206,37 @@ def set_table(df: DataFrame, k: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, set long")
 
 
-def filed(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(file, set): every file of every set. A task files equal sets once."""
+def filed(df: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(bucket, pack): every file of every set, packed. A task files equal sets once.
+
+    Files are dealt to buckets by hash. A pack has one bucket's entries of many
+    sets: the sets' hashes, their numbers of entries, and 40 bits of each
+    file, so that an entry takes some seven bytes. Two files whose 40 bits and
+    bucket agree by chance are one file: more to compare, nothing lost.
+    """
     import xxhash
 
+    def packs(keys, names):
+        counts = np.fromiter(map(len, keys), np.int64, len(keys))
+        key, owner, names = np.concatenate(keys), np.repeat(np.arange(len(keys)), counts), np.array(names, np.uint64)
+        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner = bucket[order], owner[order]
+        short = np.ascontiguousarray((key[order] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rows = []
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+            own = owner[lo:hi]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            n = np.diff(np.r_[first, len(own)]).astype("<u4")
+            rows.append(len(n).to_bytes(4, "little") + names[own[first]].astype("<u8").tobytes() + n.tobytes() + short[lo:hi].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rows, pa.binary())], names=["bucket", "pack"])
+
     def work(batches):
         memo, seen = WordHash(), set()
+        keys, names, held = [], [], 0
         for whole in batches:
             for b in slices(whole, "text"):
-                keys, names = [], []
                 for t in b.column("text").to_pylist():
                     s = ngram_set(t, k, memo)
                     if not len(s) or (name := xxhash.xxh3_64_intdigest(s.tobytes())) in seen:
@@ -212,44 +245,60 @@ def filed(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         seen.clear()
                     seen.add(name)
                     keys.append(file_keys(s, num, den))
-                    names.append(np.full(len(keys[-1]), name, np.uint64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, names)], names=["file", "set"])
+                    names.append(name)
+                    held += len(keys[-1])
+                if held > PACKED:
+                    yield packs(keys, names)
+                    keys, names, held = [], [], 0
+        if keys:
+            yield packs(keys, names)
+
+    return df.select("text").mapInArrow(work, "bucket int, pack binary")
 
-    return df.select("text").mapInArrow(work, "file long, set long")
 
+def unpacked(bucket: int, pack: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(file, set) of a pack's entries."""
+    n = int.from_bytes(pack[:4], "little")
+    names = np.frombuffer(pack, "<i8", n, 4)
+    counts = np.frombuffer(pack, "<u4", n, 4 + 8 * n)
+    short = np.frombuffer(pack, np.uint8, offset=4 + 12 * n).reshape(-1, 5)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :5] = short
+    return wide.view("<i8").ravel() | (bucket & 0x7FFFFF) << 40, np.repeat(names, counts)
 
-def shared_files(rows: DataFrame) -> DataFrame:
+
+def shared_files(packed: DataFrame, partitions: int) -> DataFrame:
     """(file, set, head) of files with two or more sets; head is the file's first set.
 
-    Streams over sorted partitions and holds one row back, however large a file.
+    A task sorts the entries of its buckets, 16 bytes each; ``partitions`` is
+    chosen so that these are a few million.
     """
 
     def work(batches):
-        last = None  # file, set, head, whether it was given out
+        files, sets = [], []
         for b in batches:
-            f, s = b.column("file").to_numpy(), b.column("set").to_numpy()
-            if last is not None:
-                f, s = np.r_[last[0], f], np.r_[last[1], s]
-            new = np.r_[True, (f[1:] != f[:-1]) | (s[1:] != s[:-1])]
-            f, s = f[new], s[new]
-            if not len(f):
-                continue
-            same = f[1:] == f[:-1]
-            start = np.flatnonzero(np.r_[True, ~same])
-            head = np.repeat(s[start], np.diff(np.r_[start, len(f)]))
-            if last is not None:
-                head[: start[1] if len(start) > 1 else len(f)] = last[2]
-            give = np.r_[False, same] | np.r_[same, False]
-            if last is not None and last[3]:
-                give[0] = False
-            held = last is not None and len(f) == 1 and last[3]
-            last = (f[-1], s[-1], head[-1], bool(give[-1]) or held)
-            if give.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (f, s, head)], names=["file", "set", "head"])
-
-    dealt = rows.repartition("file").sortWithinPartitions("file", "set")
-    return dealt.mapInArrow(work, "file long, set long, head long")
+            for bucket, pack in zip(b.column("bucket").to_pylist(), b.column("pack").to_pylist(), strict=True):
+                f, s = unpacked(bucket, pack)
+                files.append(f)
+                sets.append(s)
+        if not files:
+            return
+        f, s = np.concatenate(files), np.concatenate(sets)
+        files.clear()
+        sets.clear()
+        order = np.lexsort((s, f))
+        f, s = f[order], s[order]
+        new = np.r_[True, (f[1:] != f[:-1]) | (s[1:] != s[:-1])]
+        f, s = f[new], s[new]
+        same = f[1:] == f[:-1]
+        give = np.r_[False, same] | np.r_[same, False]
+        f, s = f[give], s[give]
+        start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.empty(0, np.int64)
+        head = np.repeat(s[start], np.diff(np.r_[start, len(f)]))
+        for at in range(0, len(f), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (f, s, head)], names=["file", "set", "head"])
+
+    return packed.repartition(partitions, "bucket").mapInArrow(work, "file long, set long, head long")
 
 
 def _texts(df: DataFrame, reps: DataFrame) -> DataFrame:
@@ -259,29 +308,42 @@ def _texts(df: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _points(texts: DataFrame, k: int) -> DataFrame:
+    """(set, n, point, fine): the set's point over 256 groups, and over as many as suit its size."""
+
     def work(batches):
         memo = WordHash()
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [ngram_set(t, k, memo) for t in b.column("text").to_pylist()]
-                cols = [b.column("set"), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["set", "n", "point"])
+                fine = [point(s) for s in sets]
+                cols = [b.column("set"), pa.array([len(s) for s in sets], pa.int64()), pa.array([folded(p).tobytes() for p in fine], pa.binary()), pa.array([p.tobytes() for p in fine], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["set", "n", "point", "fine"])
 
-    return texts.select("set", "text").mapInArrow(work, "set long, n long, point binary")
+    return texts.select("set", "text").mapInArrow(work, "set long, n long, point binary, fine binary")
 
 
-def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose bound allows a link."""
-    side = lambda c: points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, column: str = "point") -> DataFrame:
+    """The pairs (a, b) whose bound, over the points in ``column``, allows a link."""
+    side = lambda c: points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"p{c}"))
+
+    def differences(x: list[bytes], y: list[bytes]) -> np.ndarray:
+        if column == "point":
+            gap = np.subtract(*(np.frombuffer(b"".join(v), np.uint8).reshape(-1, GROUPS) for v in (x, y)))
+            return np.minimum(gap, 0 - gap).sum(1, dtype=np.int64)
+        out = np.empty(len(x), np.int64)
+        for i, (v, w) in enumerate(zip(x, y, strict=True)):
+            few = min(len(v), len(w))
+            gap = folded(np.frombuffer(v, np.uint8), few) - folded(np.frombuffer(w, np.uint8), few)
+            out[i] = np.minimum(gap, 0 - gap).sum(dtype=np.int64)
+        return out
 
     def work(batches):
-        for b in batches:
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            pa_, pb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("pa", "pb"))
-            gap = pa_ - pb
-            top = (na + nb - np.minimum(gap, 0 - gap).sum(1, dtype=np.int64)) // 2
-            ok = pa.array(top >= needed(na, nb, num, den))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+        for whole in batches:
+            for b in slices(whole, "pa"):
+                na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+                top = (na + nb - differences(b.column("pa").to_pylist(), b.column("pb").to_pylist())) // 2
+                ok = pa.array(top >= needed(na, nb, num, den))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
     return joined.mapInArrow(work, "a long, b long")
@@ -324,13 +386,13 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: i
     n_points = points.count()
     sent = None
     if n_points <= SEND_POINTS:
-        got = points.orderBy("set").toArrow()
+        got = points.drop("fine").orderBy("set").toArrow()
         names = got.column("set").to_numpy()
         sizes = got.column("n").to_numpy()
         matrix = np.frombuffer(b"".join(got.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
         sent = points.sparkSession.sparkContext.broadcast((names, sizes, matrix))
     else:
-        rows = rows.join(points, "set")
+        rows = rows.join(points.drop("fine"), "set")
 
     def pairs_of(names, comps, sizes, matrix):
         tree = CountRTree(matrix, sizes, num, den) if len(names) > FAN else None
@@ -395,6 +457,13 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: i
     return dealt.mapInArrow(work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
+def _partitions(sets: DataFrame, num: int, den: int) -> int:
+    """Tasks that sort files, from the sizes of all sets: a set has some 2.5 times as many as can differ."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    entries = 2.5 * total * (den - num) / (den + num) + sets.count()
+    return max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / SORTED))
+
+
 def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``df(doc_id, text)``.
 
@@ -407,11 +476,13 @@ def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
     df = df.select("doc_id", "text")
     sets = materialise(set_table(df, k), "ngram-sets")
     reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("rep"))
-    members = materialise(shared_files(filed(df, k, num, den)), "ngram-files")
+    partitions = _partitions(sets, num, den)
+    members = materialise(shared_files(filed(df, k, num, den, 8 * partitions), partitions), "ngram-files")
     texts = materialise(_texts(df, reps.join(members.select("set").distinct(), "set", "left_semi")), "ngram-texts")
     points = materialise(_points(texts, k), "ngram-points")
     stars = members.where(F.col("set") != F.col("head")).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
-    links = materialise(_verified(_within_bound(stars, points, num, den), texts, k, num, den), "ngram-links")
+    close = _within_bound(_within_bound(stars, points, num, den), points, num, den, "fine")
+    links = materialise(_verified(close, texts, k, num, den), "ngram-links")
     named = texts.select("set", "rep")
     labels = components(links)
     rest = members.where(F.col("set") != F.col("head")).select("file", "set")
@@ -422,7 +493,7 @@ def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
         mixed = placed.groupBy("file").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("file")
         found = materialise(_open_pairs(placed.join(mixed, "file", "left_semi"), points, num, den, width), "ngram-pairs")
         new = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        more = materialise(_verified(new, texts, k, num, den), "ngram-links")
+        more = materialise(_verified(_within_bound(new, points, num, den, "fine"), texts, k, num, den), "ngram-links")
         if more.limit(1).count():
             # The labels stand for the links already found.
             labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))

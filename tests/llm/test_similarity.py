@@ -56,13 +56,13 @@ def chain(n, seed, length=60):
 
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_large_group_of_near_copies(spark, monkeypatch, k, num):
-    rows = list(enumerate(chain(250, 1) + chain(100, 2, 9) + chain(60, 3, 400)))
+    rows = list(enumerate(chain(250, 1) + chain(100, 2, 9) + chain(40, 3, 400) + chain(25, 4, 1500)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = joined(rows, k, num, 100)
     assert sorted(map(tuple, ngram_join.ngram_components(df, k, num, 100).collect())) == want
     # Neither sending points and ids to all tasks nor joining links in one task changes anything.
-    for name in ("SEND_POINTS", "SEND_IDS"):
-        monkeypatch.setattr(ngram_join, name, -1)
+    for name, value in (("SEND_POINTS", -1), ("SEND_IDS", -1)):
+        monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "components", lambda links: comps.components(links, one_task=-1))
     assert sorted(map(tuple, ngram_join.ngram_components(df, k, num, 100).collect())) == want
 
@@ -88,7 +88,7 @@ def test_bound_and_tree_lose_nothing():
     rnd = np.random.default_rng(4)
     base = rnd.integers(0, 2**63, 500).astype(np.uint64)
     sets = [np.unique(np.r_[rnd.choice(base, rnd.integers(50, 450), replace=False), rnd.integers(0, 2**63, rnd.integers(0, 60)).astype(np.uint64)]) for _ in range(150)]
-    points, sizes = np.stack([ngram_join.point(s) for s in sets]), np.array([len(s) for s in sets])
+    points, sizes = np.stack([ngram_join.folded(ngram_join.point(s)) for s in sets]), np.array([len(s) for s in sets])
     tree = ngram_join.CountRTree(points, sizes, 50, 100)
     for i, s in enumerate(sets):
         found = set(tree.near(points[i], len(s)).tolist())
@@ -99,16 +99,21 @@ def test_bound_and_tree_lose_nothing():
                 assert j in found
 
 
-def test_shared_files_over_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        rnd = random.Random(9)
-        rows = [(rnd.randint(0, 40), rnd.randint(0, 30)) for _ in range(300)]
-        got = sorted(map(tuple, ngram_join.shared_files(spark.createDataFrame(rows, "file long, set long")).collect()))
-        held = {f: sorted({s for g, s in rows if g == f}) for f, _ in rows}
-        assert got == sorted((f, s, ss[0]) for f, ss in held.items() if len(ss) > 1 for s in ss)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+def test_shared_files(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PACKED", 50)
+    rows = list(enumerate(chain(30, 5, 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    memo, held = WordHash(), {}
+    for _, t in rows:
+        s = ngram_join.ngram_set(t, 3, memo)
+        for f in ngram_join.file_keys(s, 90, 100).tolist():
+            held.setdefault(f, set()).add(s.tobytes())
+    got = ngram_join.shared_files(ngram_join.filed(df, 3, 90, 100, 16), 3).collect()
+    files = {}
+    for r in got:
+        files.setdefault(r.file, []).append(r)
+    assert sorted(map(len, files.values())) == sorted(len(x) for x in held.values() if len(x) > 1)
+    assert all({r.head for r in x} == {min(r.set for r in x)} for x in files.values())
 
 
 @pytest.mark.parametrize("one_task", [-1, 1000])
