@@ -34,6 +34,11 @@ def tokens(c: Column) -> Column:
     or all digits; a hyphenated word of over three also gives its parts."""
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s.\-]", " "), r"\s+", " ")), " ")
     kept = F.filter(words, lambda t: (F.char_length(t) >= 2) | t.rlike(r"^\p{N}+$"))
+    # Most texts have no hyphen and skip the nested arrays.
+    return F.when(~F.contains(c, F.lit("-")), kept).otherwise(_with_parts(kept))
+
+
+def _with_parts(kept: Column) -> Column:
     return F.flatten(F.transform(kept, lambda t: F.when(t.contains("-") & (F.char_length(t) > 3), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))))
 
 

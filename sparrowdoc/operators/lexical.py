@@ -14,6 +14,8 @@ from sparrowdoc.functions.text import content_terms, tokens
 
 K1, B = 1.2, 0.75
 KEY = ["doc_id", "chunk_id"]
+#: Query terms that become a filter inside the scan at most.
+PUSHED_TERMS = 10_000
 
 
 def as_chunks(docs: DataFrame) -> DataFrame:
@@ -45,13 +47,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def matches(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the query terms with chunk length, document frequency and corpus numbers.
 
-    Each chunk is tokenised once: its length travels with its tokens, and tf is
-    counted where the chunk is.
+    Each chunk is tokenised once: it gives its hits, and one row of no term that
+    carries its length, from which corpus numbers are summed. Up to
+    ``PUSHED_TERMS`` distinct query terms are pushed into the scan; more are
+    joined to the exploded tokens.
     """
     wanted = terms.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(PUSHED_TERMS + 1).collect()]
     base = chunks.select(*KEY, content_terms(F.col("content")).alias("terms"))
-    lengths = base.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    hits = base.select(*KEY, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", *KEY, "dl").agg(F.count("*").alias("tf"))
+    own = F.array(F.lit(None).cast("string"))
+    if len(few) <= PUSHED_TERMS:
+        kept = F.filter("terms", lambda t: t.isin(few)) if few else F.array().cast("array<string>")
+        rows = base.select(*KEY, F.size("terms").alias("dl"), F.explode(F.concat(kept, own)).alias("term"))
+    else:
+        rows = base.select(*KEY, F.size("terms").alias("dl"), F.explode(F.concat("terms", own)).alias("term")).join(wanted.withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null").drop("asked")
+    counted = rows.groupBy("term", *KEY, "dl").agg(F.count("*").alias("tf"))
+    lengths = counted.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = counted.where("term is not null")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     return hits.join(df, "term").crossJoin(F.broadcast(lengths))  # one row
 
@@ -100,13 +112,16 @@ def having_none(chunks: DataFrame, excluded: list[str]) -> DataFrame:
 def phrase_search(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, doc_id, chunk_id) of ``phrases(query_id, phrase)`` that stand in a chunk.
 
-    Chunks that hold the phrase's rarest term are looked at, nothing else.
+    Chunks that hold the phrase's longest term, which stands in for its rarest,
+    are looked at, nothing else. A phrase of stop words finds nothing.
     """
-    terms = phrases.select("query_id", "phrase", F.explode(F.array_distinct(content_terms(F.col("phrase")))).alias("term"))
-    held = chunks.select(*KEY, "content", F.array_distinct(content_terms(F.col("content"))).alias("terms"))
-    often = held.select(F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = terms.join(often, "term", "left").groupBy("query_id", "phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    found = held.select(*KEY, "content", F.explode("terms").alias("term")).join(rarest, "term")
+    longest = F.array_max(F.transform(content_terms(F.col("phrase")), lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t"))))
+    wanted = phrases.select("query_id", "phrase", longest["t"].alias("term")).where("term is not null")
+    few = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    terms = F.array_distinct(tokens(F.col("content")))
+    if len(few) <= PUSHED_TERMS:
+        terms = F.filter(terms, lambda t: t.isin(few)) if few else F.array().cast("array<string>")
+    found = chunks.select(*KEY, "content", F.explode(terms).alias("term")).join(wanted, "term")
     return found.where(F.contains(F.lower("content"), F.lower("phrase"))).select("query_id", *KEY)
 
 
