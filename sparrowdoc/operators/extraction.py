@@ -110,6 +110,18 @@ def with_confidence(fields: DataFrame, doc_type: str) -> DataFrame:
     return fields.withColumn("confidence", F.round(F.when(n > 1, F.least(c + 0.05, F.lit(1.0))).otherwise(c), 4))
 
 
+#: Fields of a header block, each with the group that has the value.
+HEADER = {"title": (r"^([A-Z][A-Za-z\s]+)$", 1), "date": (r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", 1), "reference": (r"(REF|Ref|Reference):\s*([A-Za-z0-9-]+)", 2)}
+
+
+def header_fields(df: DataFrame) -> DataFrame:
+    """(doc_id, name, value, confidence) of header texts ``df(doc_id, text)``; dates become ISO dates."""
+    found = [F.struct(F.lit(f"header_{n}").alias("name"), F.trim(F.regexp_extract("text", p, g)).alias("value")) for n, (p, g) in HEADER.items()]
+    flat = df.select("doc_id", F.explode(F.array(*found)).alias("f")).select("doc_id", "f.*").where("value <> ''")
+    value = F.when(F.col("name") == "header_date", F.date_format(X.parse_date(F.col("value")), "yyyy-MM-dd")).otherwise(F.col("value"))
+    return flat.select("doc_id", "name", value.alias("value"), F.lit(0.8).alias("confidence")).where("value is not null")
+
+
 def table_fields(df: DataFrame) -> DataFrame:
     """(doc_id, row, name, value, value_num) of tab-separated tables: first line is the header."""
     lines = F.split("content", "\n")

@@ -33,16 +33,18 @@ TERMS = {
 }
 #: Rules by type: name, priority, trigger in the question.
 RULES = (
-    ("invoice", "invoice_total", 1, "total|sum|amount"),
-    ("invoice", "tax_check", 2, "tax|vat"),
-    ("invoice", "payment_terms", 2, "due|payment|terms"),
-    ("resume", "experience", 1, "experience|years"),
-    ("resume", "skills", 2, "skill|technology"),
-    ("resume", "education", 2, "education|degree"),
-    ("legal", "clause", 1, "clause|section|article"),
-    ("legal", "obligations", 1, "obligation|responsib|duty"),
-    ("legal", "terms", 2, "term|duration|jurisdiction"),
+    ("invoice", "total_calculation", 1, "total|sum|amount due"),
+    ("invoice", "tax_validation", 2, "tax|vat|gst"),
+    ("invoice", "due_date_reasoning", 1, "due date|payment|deadline"),
+    ("resume", "experience_calculation", 1, r"years?\s+of\s+experience|experience"),
+    ("resume", "skill_matching", 2, "skills?|competenc|abilit"),
+    ("resume", "education_analysis", 2, "education|degree|qualification"),
+    ("legal", "clause_interpretation", 1, "clause|section|article"),
+    ("legal", "obligation_analysis", 1, "obligation|responsibility|duty"),
+    ("legal", "term_extraction", 2, "term|condition|requirement"),
 )
+EDUCATION = (r"(?:bachelor|master|phd|doctorate)\s+(?:of\s+|in\s+)?([^\n,]+)", r"(?:b\.?\s*[as]\.?|m\.?\s*[as]\.?|ph\.?\s*d\.?)\s+in\s+([^\n,]+)", r"degree\s+in\s+([^\n,]+)", r"graduated\s+from\s+([^\n,]+)")
+CLAUSES = r"((?:clause\s+\d+[a-z]?|section\s+\d+(?:\.\d+)?|article\s+\d+)\s*:?\s*[^\n]+)"
 WEIGHTS = {"source": 0.2, "retrieval": 0.25, "reasoning": 0.2, "calculation": 0.15, "consensus": 0.2}
 PRIORS = {"invoice": 0.9, "contract": 0.9, "receipt": 0.8, "report": 0.8, "resume": 0.7}
 
@@ -104,6 +106,22 @@ def experience_years(c: Column, now: int) -> Column:
     return F.aggregate(F.concat(stated, spans), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
+def education(c: Column) -> Column:
+    """What a text says was studied or where, in the order of the patterns."""
+    return F.transform(F.flatten(F.array(*[X.find_all(c, f"(?i){p}", 1) for p in EDUCATION])), lambda v: F.trim(v))
+
+
+def clauses(c: Column) -> Column:
+    """Clause, section and article lines."""
+    return X.find_all(c, f"(?i){CLAUSES}", 1)
+
+
+def evidence_strength(steps: DataFrame) -> DataFrame:
+    """(query_id, strength) of ``steps(query_id, confidence, n_sources, n_outputs)``: mean over the steps."""
+    one = (F.col("confidence") + F.least(F.col("n_sources") / 2, F.lit(1.0)) + F.least(F.col("n_outputs") / 5, F.lit(1.0))) / 3
+    return steps.groupBy("query_id").agg(F.avg(one).alias("strength"))
+
+
 def skill_match(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(doc_id, matched, percent): wanted skills that hold or are held by an offered one.
 

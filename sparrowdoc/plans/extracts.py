@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparrowdoc.functions import fields as X
 from sparrowdoc.operators import extraction as E
 from sparrowdoc.plans.registry import register
-from sparrowdoc.sources.tables import load
+from sparrowdoc.sources.tables import clean_metadata, load, upload_problem
 
 docs = lambda s, d: load(s, d, "documents")
 
@@ -156,3 +156,18 @@ register(
     lambda s, d: load(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("l_discount") * F.col("l_quantity")), F.sum("l_quantity")), F.lit(0.0)), 8).alias("mean")),
     "SELECT l_orderkey, round(coalesce(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 0), 8) AS mean FROM lineitem GROUP BY l_orderkey",
 )
+register(
+    "header_fields",
+    lambda s, d: E.header_fields(load(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.element_at(F.array(F.lit("Quarterly Report"), F.concat(F.lit("issued "), F.date_format("o_orderdate", "MM/dd/yyyy")), F.concat(F.lit("Reference: R-"), F.col("o_custkey"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("text"))),
+    "SELECT o_orderkey AS doc_id, ['header_title', 'header_date', 'header_reference'][o_orderkey % 3 + 1] AS name, ['Quarterly Report', strftime(o_orderdate, '%Y-%m-%d'), 'R-' || o_custkey][o_orderkey % 3 + 1] AS value, 0.8 AS confidence FROM orders",
+)
+register(
+    "upload_validation",
+    lambda s, d: load(s, d, "pages").select("page_id", upload_problem(F.concat(F.lit("a."), F.element_at(F.array(*map(F.lit, ["pdf", "TXT", "exe", "png"])), (F.col("page_id") % 4 + 1).cast("int"))), (F.col("page_id") % 25) * (1 << 20)).alias("problem")),
+    "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'type' WHEN page_id % 25 = 0 THEN 'empty' WHEN page_id % 25 > [100, 10, 0, 20][page_id % 4 + 1] THEN 'size' END AS problem FROM pages",
+)
+register(
+    "clean_metadata",
+    lambda s, d: load(s, d, "pages").select("page_id", clean_metadata(F.create_map(F.concat(F.lit("<b>key"), F.col("page_id")), F.col("html"))).alias("m")).select("page_id", F.element_at(F.map_keys("m"), 1).alias("key"), F.md5(F.element_at(F.map_values("m"), 1).cast("binary")).alias("value")),
+    "SELECT page_id, 'key' || page_id AS key, md5(substr(regexp_replace(html, '<[^>]+>', '', 'g'), 1, 1000)) AS value FROM pages",
+)

@@ -291,3 +291,20 @@ register(
 )
 
 
+
+
+def studied(s, d):
+    c = load(s, d, "customer")
+    return c.select("c_custkey", F.concat(F.lit("Bachelor of "), F.col("c_mktsegment"), F.lit(", graduated from school "), F.col("c_nationkey"), F.lit("\nClause 7a: pay "), F.col("c_custkey"), F.lit("\n")).alias("content"))
+
+
+register(
+    "education",
+    lambda s, d: studied(s, d).select("c_custkey", F.array_join(R.education(F.col("content")), "|").alias("studied"), F.array_join(R.clauses(F.col("content")), "|").alias("clauses")),
+    "SELECT c_custkey, c_mktsegment || '|school ' || c_nationkey AS studied, 'Clause 7a: pay ' || c_custkey AS clauses FROM customer",
+)
+register(
+    "evidence_strength",
+    lambda s, d: R.evidence_strength(load(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_quantity") / 50).alias("confidence"), (F.col("l_partkey") % 4).alias("n_sources"), "l_linenumber").withColumnRenamed("l_linenumber", "n_outputs")).withColumn("strength", F.round("strength", 9)),
+    "SELECT l_orderkey AS query_id, round(avg((l_quantity / 50 + least(l_partkey % 4 / 2, 1.0) + least(l_linenumber / 5, 1.0)) / 3), 9) AS strength FROM lineitem GROUP BY l_orderkey",
+)

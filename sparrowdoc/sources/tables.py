@@ -9,13 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: File suffixes by kind.
 KINDS = {"pdf": ["pdf"], "docx": ["docx", "doc"], "text": ["txt", "md"], "image": ["png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif"]}
 
+#: Largest uploads in MB by suffix; images share one limit.
+LIMITS = {"pdf": 100, "docx": 50, "doc": 50, "txt": 10} | dict.fromkeys(["png", "jpg", "jpeg", "gif", "bmp", "tiff", "tif"], 20)
+
+
+def upload_problem(name: Column, size: Column) -> Column:
+    """Null for a file that may be taken in, else what is wrong: its suffix, no content, or its size."""
+    suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    most = F.element_at(F.create_map(*[F.lit(x) for k, mb in LIMITS.items() for x in (k, mb << 20)]), suffix)
+    return F.when(most.isNull(), "type").when(size <= 0, "empty").when(size > most, "size")
+
+
+def clean_metadata(m: Column) -> Column:
+    """String metadata with tags taken out, keys cut at 100 and values at 1000 characters."""
+    cut = lambda c, n: F.substring(F.regexp_replace(c, "<[^>]+>", ""), 1, n)
+    return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(cut(e["key"], 100), cut(e["value"], 1000))))
+
+
 DOCUMENT = T.StructType(
     [
         T.StructField("doc_id", T.StringType(), False),

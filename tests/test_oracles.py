@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 from sparrowdoc.plans import registry
@@ -20,7 +21,7 @@ def con(sf):
 
 
 def shown(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, float):
         return "0" if v == 0 else f"{v:.9g}"
