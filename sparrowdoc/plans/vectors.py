@@ -160,10 +160,18 @@ register(
     lambda s, d: fusion.minmax(keyword_list(s, d)).withColumn("unit", F.round("unit", 6)),
     f"WITH {_lists_sql()} SELECT query_id, doc_id, 0 AS chunk_id, score, round(unit, 6) AS unit FROM ku",
 )
+
+
+def running(s: SparkSession, d: str) -> DataFrame:
+    """Mean of an event type's values so far."""
+    so_far = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return load(s, d, "events").select("event_type", "event_id", (F.round(F.sum("value").over(so_far), 4) / F.count("value").over(so_far)).alias("running"))
+
+
 register(
     "running_average",
-    lambda s, d: load(s, d, "events").select("event_type", "event_id", F.round(F.avg("value").over(Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)), 6).alias("running")),
-    "SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM events",
+    running,
+    "SELECT event_type, event_id, round(sum(value) OVER w, 4) / count(value) OVER w AS running FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
 )
 register(
     "dedupe_best",
