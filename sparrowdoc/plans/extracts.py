@@ -153,8 +153,8 @@ register(
 )
 register(
     "weighted_average",
-    lambda s, d: load(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("l_discount") * F.col("l_quantity")), F.sum("l_quantity")), F.lit(0.0)), 8).alias("mean")),
-    "SELECT l_orderkey, round(coalesce(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 0), 8) AS mean FROM lineitem GROUP BY l_orderkey",
+    lambda s, d: load(s, d, "lineitem").groupBy("l_orderkey").agg(F.coalesce(F.try_divide(F.round(F.sum(F.col("l_discount") * F.col("l_quantity")), 4), F.sum("l_quantity")), F.lit(0.0)).alias("mean")),
+    "SELECT l_orderkey, coalesce(round(sum(l_discount * l_quantity), 4) / nullif(sum(l_quantity), 0), 0) AS mean FROM lineitem GROUP BY l_orderkey",
 )
 register(
     "header_fields",

@@ -180,6 +180,6 @@ register(
 )
 register(
     "similar_documents",
-    lambda s, d: (lambda h: h.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")).where("rank <= 5").join(load(s, d, "documents").select("doc_id", "lang"), "doc_id"))(semantic_list(s, d)),
+    lambda s, d: near(s, d, 5).withColumnRenamed("vec_id", "doc_id").join(load(s, d, "documents").select("doc_id", "lang"), "doc_id"),
     f"SELECT query_id, doc_id, score, rank, lang FROM (SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({knn_sql(10)})) JOIN documents USING (doc_id) WHERE rank <= 5",
 )
