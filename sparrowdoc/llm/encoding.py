@@ -9,6 +9,7 @@ texts, numbering the chunks and joining their ids is columnar.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import sys
 from array import array
@@ -16,7 +17,7 @@ from array import array
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import one_thread
+from .common import one_thread, release
 
 #: Chunks held before the memo ages; the generation before it is kept too.
 MEMO_LIMIT = 300_000
@@ -144,3 +145,11 @@ def joined(offsets: pa.Array, pieces: pa.Array, between: bytes | str) -> pa.Arra
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder; it outlives a task, so later tasks find a warm memo."""
     return ChunkEncoder(path)
+
+
+def forget() -> None:
+    """Frees the memo of a worker that goes on with another operator, and gives freed memory back."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+    release()

@@ -74,7 +74,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """Memo of 64-bit word hashes; starts afresh when it holds ``limit`` words."""
 
-    limit = 1_000_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

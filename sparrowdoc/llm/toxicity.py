@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, texts_of
+from .encoding import forget
 
 #: Labelled rows that a model is fitted on at most: half for the lexicon, the
 #: rest for trees and curve.
@@ -71,7 +72,7 @@ def entries_of(word: bytes) -> list[bytes]:
 class WordTraits(dict):
     """Memo: word → index into rows of (seed, weight, beginning's weight, second person, obfuscated)."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
@@ -325,6 +326,7 @@ def score(df: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     columns = keep.split()
 
     def work(batches):
+        forget()
         traits = WordTraits(model.lexicon)
         for whole in batches:
             for b in slices(whole, "text"):
