@@ -31,22 +31,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, rows_a_batch, slices
 from .components import components
+from .encoding import forget
 from .license_scan import WordHash, mix, rolling
 
-#: Coordinates of a point, 8 bits each. Fine points of larger sets have a power of two as many.
+#: Least number of a point's coordinates, 8 bits each. Points of larger sets have a power of two as many.
 GROUPS = 256
 FINEST = 1 << 15
-#: Points sent to every task at most (264 bytes each); more are joined to their rows.
-SEND_POINTS = 200_000
+#: N-grams a coordinate: of the points that bounds are first taken of, and of fine points.
+COARSE, FINE = 8, 2
+#: Bytes of points sent to every task at most; more are joined to their rows.
+SEND_POINTS = 48 << 20
 #: Ids sent to every task at most.
 SEND_IDS = 1_000_000
 FAN = 32
 #: Entries packed together, and entries that a task sorts.
 PACKED, SORTED = 1_000_000, 2_000_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 #: Partners that a point meets in the first round.
-FIRST_WIDTH = 2
+FIRST_WIDTH = 4
 
 
 # ---- sets -------------------------------------------------------------------
@@ -62,10 +67,10 @@ def ngram_set(text: str | None, k: int, memo: WordHash) -> np.ndarray:
     return np.unique(rolling(h, k) if len(h) >= k else rolling(h, len(h)) ^ np.uint64(len(h)))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set in each group, modulo 256; a set has about two n-grams a group."""
+def point(s: np.ndarray, a_group: int = FINE) -> np.ndarray:
+    """Counts of the set in each group, modulo 256; no more than ``a_group`` in a group on average."""
     groups = GROUPS
-    while groups < FINEST and 2 * groups < len(s):
+    while groups < FINEST and a_group * groups < len(s):
         groups *= 2
     return np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint8)
 
@@ -94,36 +99,46 @@ def needed(n, m, num: int, den: int):
 
 
 @functools.cache
-def bands(num: int, den: int, upto: int) -> tuple[list[int], list[int], list[int]]:
-    """Bands of set size: first sizes, numbers of blocks, and least number of equal blocks.
+def bands(num: int, den: int, upto: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Bands of set size: first sizes, numbers of blocks, least numbers of equal blocks, and thin counts.
 
     Sizes of linked sets are in one band or in neighbouring ones. With more
     blocks than the most that can differ, a linked pair has ``equal`` or more
-    equal blocks; ``equal`` is chosen above the usual number of empty blocks, so
-    that empty blocks, which say nothing, need filing only for unusual sets.
+    equal blocks. Blocks with ``thin`` or fewer n-grams say little, as many
+    texts share them by chance or by a common passage. If a set has fewer thin
+    blocks than ``equal``, some equal block isn't thin; so thin blocks are
+    filed only for sets that have ``equal`` of them or more, which are few.
+    ``thin`` is as large as up to half as many more blocks allow.
     """
-    first, blocks, equal = [1], [], []
+    first, blocks, equal, thin = [1], [], [], []
     while True:
         low = first[-1]
         high = low * den // num
         d = 2 * high * (den - num) // (den + num)
-        e = 1
-        while e < 1 + (d + 3) // 4:
-            empty = (d + e) * math.exp(-low / (d + e))
-            if e > empty + 3 * math.sqrt(empty):
+        found = (1, 0)
+        for t in (4, 3, 2, 1, 0):
+            e = next((e for e in range(1, d // 2 + 2) if e > (z := _thin(low, d + e, t)) + 2 * math.sqrt(z)), 0)
+            if e:
+                found = (e, t)
                 break
-            e += 1
-        blocks.append(d + e)
-        equal.append(e)
+        blocks.append(d + found[0])
+        equal.append(found[0])
+        thin.append(found[1])
         if low > upto:
-            return first, blocks, equal
+            return first, blocks, equal, thin
         first.append(high + 1)
 
 
+def _thin(n: int, m: int, t: int) -> float:
+    """Expected number of m blocks with t or fewer of n n-grams."""
+    mean = n / m
+    return m * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(t + 1))
+
+
 def file_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The files (64-bit) that a non-empty set is filed under."""
     n = len(s)
-    first, blocks, equal = bands(num, den, 1 << max(10, n.bit_length() + 1))
+    first, blocks, equal, thin = bands(num, den, 1 << max(10, n.bit_length() + 1))
     own = int(np.searchsorted(first, n, "right")) - 1
     spread = mix(s ^ np.uint64(0xD1342543DE82EF95))
     out = []
@@ -140,7 +155,10 @@ def file_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         full = at[starts]
         sums = np.add.reduceat(value[order], starts)
-        if m - len(full) >= equal[band]:
+        thick = np.diff(np.r_[starts, n]) > thin[band]
+        if m - np.count_nonzero(thick) < equal[band]:
+            full, sums = full[thick], sums[thick]
+        else:
             whole = np.zeros(m, np.uint64)
             whole[full] = sums
             full, sums = np.arange(m), whole
@@ -194,6 +212,7 @@ def set_table(df: DataFrame, k: int) -> DataFrame:
     import xxhash
 
     def work(batches):
+        forget()
         memo = WordHash()
         for whole in batches:
             for b in slices(whole, "text"):
@@ -233,6 +252,7 @@ def filed(df: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rows, pa.binary())], names=["bucket", "pack"])
 
     def work(batches):
+        forget()
         memo, seen = WordHash(), set()
         keys, names, held = [], [], 0
         for whole in batches:
@@ -268,7 +288,7 @@ def unpacked(bucket: int, pack: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_files(packed: DataFrame, partitions: int) -> DataFrame:
-    """(file, set, head) of files with two or more sets; head is the file's first set.
+    """(file, set, head, many) of files with two or more sets; head is the file's first set, many: it has more than two.
 
     A task sorts the entries of its buckets, 16 bytes each; ``partitions`` is
     chosen so that these are a few million.
@@ -294,11 +314,12 @@ def shared_files(packed: DataFrame, partitions: int) -> DataFrame:
         give = np.r_[False, same] | np.r_[same, False]
         f, s = f[give], s[give]
         start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.empty(0, np.int64)
-        head = np.repeat(s[start], np.diff(np.r_[start, len(f)]))
+        held = np.diff(np.r_[start, len(f)])
+        head, many = np.repeat(s[start], held), np.repeat(held > 2, held)
         for at in range(0, len(f), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (f, s, head)], names=["file", "set", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (f, s, head, many)], names=["file", "set", "head", "many"])
 
-    return packed.repartition(partitions, "bucket").mapInArrow(work, "file long, set long, head long")
+    return packed.repartition(partitions, "bucket").mapInArrow(work, "file long, set long, head long, many boolean")
 
 
 def _texts(df: DataFrame, reps: DataFrame) -> DataFrame:
@@ -308,15 +329,15 @@ def _texts(df: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _points(texts: DataFrame, k: int) -> DataFrame:
-    """(set, n, point, fine): the set's point over 256 groups, and over as many as suit its size."""
+    """(set, n, point, fine): the set's coarse and fine points."""
 
     def work(batches):
+        forget()
         memo = WordHash()
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [ngram_set(t, k, memo) for t in b.column("text").to_pylist()]
-                fine = [point(s) for s in sets]
-                cols = [b.column("set"), pa.array([len(s) for s in sets], pa.int64()), pa.array([folded(p).tobytes() for p in fine], pa.binary()), pa.array([p.tobytes() for p in fine], pa.binary())]
+                cols = [b.column("set"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([point(s, g).tobytes() for s in sets], pa.binary()) for g in (COARSE, FINE))]
                 yield pa.RecordBatch.from_arrays(cols, names=["set", "n", "point", "fine"])
 
     return texts.select("set", "text").mapInArrow(work, "set long, n long, point binary, fine binary")
@@ -327,11 +348,12 @@ def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, colum
     side = lambda c: points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"p{c}"))
 
     def differences(x: list[bytes], y: list[bytes]) -> np.ndarray:
-        if column == "point":
-            gap = np.subtract(*(np.frombuffer(b"".join(v), np.uint8).reshape(-1, GROUPS) for v in (x, y)))
-            return np.minimum(gap, 0 - gap).sum(1, dtype=np.int64)
         out = np.empty(len(x), np.int64)
-        for i, (v, w) in enumerate(zip(x, y, strict=True)):
+        least = np.array([len(v) == GROUPS == len(w) for v, w in zip(x, y, strict=True)], bool)
+        gap = np.subtract(*(np.frombuffer(b"".join(p for p, few in zip(v, least, strict=True) if few), np.uint8).reshape(-1, GROUPS) for v in (x, y)))
+        out[least] = np.minimum(gap, 0 - gap).sum(1, dtype=np.int64)
+        for i in np.flatnonzero(~least).tolist():
+            v, w = x[i], y[i]
             few = min(len(v), len(w))
             gap = folded(np.frombuffer(v, np.uint8), few) - folded(np.frombuffer(w, np.uint8), few)
             out[i] = np.minimum(gap, 0 - gap).sum(dtype=np.int64)
@@ -355,6 +377,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     kind = texts.schema["rep"].dataType.simpleString()
 
     def work(batches):
+        forget()
         memo = WordHash()
         held: dict[int, np.ndarray] = {}
         for whole in batches:
@@ -379,20 +402,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """(a, b, more): pairs of sets of one file and different components whose bound allows a link.
 
-    ``rows(file, set, comp)``: the files' sets but their heads. Each file is one
-    R-tree; a file's points are 264 bytes each. A set gives at most ``width``
+    ``rows(file, set, comp)``: the files' sets but their heads, which have met all
+    others. A file whose sets are in one component is passed over; each other is one
+    R-tree; most points have 256 bytes. A set gives at most ``width``
     pairs a file, those with the highest bound; ``more`` tells that it has others.
     """
-    n_points = points.count()
+    points = points.drop("fine")
     sent = None
-    if n_points <= SEND_POINTS:
-        got = points.drop("fine").orderBy("set").toArrow()
-        names = got.column("set").to_numpy()
-        sizes = got.column("n").to_numpy()
-        matrix = np.frombuffer(b"".join(got.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        sent = points.sparkSession.sparkContext.broadcast((names, sizes, matrix))
+    if points.agg(F.coalesce(F.sum(F.length("point")), F.lit(0))).first()[0] <= SEND_POINTS:
+        got = points.orderBy("set").toArrow()
+        flat = got.column("point").to_pylist()
+        starts = np.r_[0, np.cumsum([len(p) for p in flat], dtype=np.int64)]
+        sent = points.sparkSession.sparkContext.broadcast((got.column("set").to_numpy(), got.column("n").to_numpy(), starts, b"".join(flat)))
     else:
-        rows = rows.join(points.drop("fine"), "set")
+        rows = rows.join(points, "set")
 
     def pairs_of(names, comps, sizes, matrix):
         tree = CountRTree(matrix, sizes, num, den) if len(names) > FAN else None
@@ -420,12 +443,14 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: i
             if len(names) < 2 or (comps == comps[0]).all():
                 return
             if sent is not None:
-                all_names, all_sizes, all_points = sent.value
+                all_names, all_sizes, starts, flat = sent.value
                 at = np.searchsorted(all_names, names)
-                sizes, matrix = all_sizes[at], all_points[at]
+                sizes, raw = all_sizes[at], [memoryview(flat)[starts[i] : starts[i + 1]] for i in at.tolist()]
             else:
-                sizes = table.column("n").to_numpy()
-                matrix = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+                sizes, raw = table.column("n").to_numpy(), table.column("point").to_pylist()
+            # The file's sizes are alike; its points are compared over as many groups as all have.
+            groups = min(map(len, raw))
+            matrix = np.stack([folded(np.frombuffer(p, np.uint8), groups) for p in raw])
             found.update(pairs_of(names, comps, sizes, matrix))
 
         def give():
@@ -473,6 +498,11 @@ def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
     always link. A null doc_id names no component and stays null where nothing
     names it. Other columns are not read; an empty table gives none.
     """
+    with rows_a_batch(df.sparkSession, BATCH_ROWS):
+        return _components(df, k, num, den)
+
+
+def _components(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     df = df.select("doc_id", "text")
     sets = materialise(set_table(df, k), "ngram-sets")
     reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("rep"))
@@ -485,13 +515,13 @@ def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
     links = materialise(_verified(close, texts, k, num, den), "ngram-links")
     named = texts.select("set", "rep")
     labels = components(links)
-    rest = members.where(F.col("set") != F.col("head")).select("file", "set")
+    rest = members.where(F.col("many") & (F.col("set") != F.col("head"))).select("file", "set")
+    small = named.count() <= SEND_IDS
     tested, width = None, FIRST_WIDTH
     while True:
         comp = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("comp"))
-        placed = rest.join(comp, "set")
-        mixed = placed.groupBy("file").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("file")
-        found = materialise(_open_pairs(placed.join(mixed, "file", "left_semi"), points, num, den, width), "ngram-pairs")
+        placed = rest.join(F.broadcast(comp) if small else comp, "set")
+        found = materialise(_open_pairs(placed, points, num, den, width), "ngram-pairs")
         new = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
         more = materialise(_verified(_within_bound(new, points, num, den, "fine"), texts, k, num, den), "ngram-links")
         if more.limit(1).count():
