@@ -193,7 +193,8 @@ class CountRTree:
         fits = (self.least * num <= n * den) & (n * num <= self.most * den)
         x = p.astype(np.int16)[None, :]
         outside = (np.maximum(self.low - x, 0) + np.maximum(x - self.high, 0)).sum(1, dtype=np.int64)
-        allowed = (n + self.most) - 2 * needed(n, self.most, num, den)
+        # Before rounding, the differences of a link grow with the sizes; rounded they don't, so a leaf of mixed sizes needs this.
+        allowed = (n + self.most) * (den - num) // (num + den)
         fits &= self.wrapped | (n > 255) | (outside <= allowed)
         out = []
         for leaf in np.flatnonzero(fits):

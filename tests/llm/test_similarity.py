@@ -99,6 +99,22 @@ def test_bound_and_tree_lose_nothing():
                 assert j in found
 
 
+@pytest.mark.parametrize("num", [90, 80])
+def test_tree_finds_boundary_pairs_in_leaves_of_mixed_sizes(num):
+    rnd = np.random.default_rng(num)
+    new = lambda n: rnd.integers(0, 2**63, n).astype(np.uint64)
+    for n in range(5, 128):
+        swapped = n - ngram_join.needed(n, n, num, 100)
+        a = new(n)
+        b = np.r_[a[swapped:], new(swapped)]
+        # The leaf: b, and 31 sets of b and one more n-gram.
+        sets = [b, *(np.r_[b, new(1)] for _ in range(ngram_join.FAN - 1))]
+        points, sizes = np.stack([ngram_join.point(s) for s in sets]), np.array([len(s) for s in sets])
+        tree, p = ngram_join.CountRTree(points, sizes, num, 100), ngram_join.point(a)
+        passed = np.flatnonzero(ngram_join.bound(p, n, points, sizes) >= ngram_join.needed(n, sizes, num, 100))
+        assert 0 in passed and sorted(tree.near(p, n).tolist()) == passed.tolist()
+
+
 def test_shared_files(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PACKED", 50)
     rows = list(enumerate(chain(30, 5, 40)))
