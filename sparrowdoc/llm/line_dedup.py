@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -134,12 +134,21 @@ def _counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
+def _planned_shards(shared: DataFrame) -> int:
+    return max(1, -(-shared.count() // KEYS_A_SHARD))
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.col("k1"), F.lit(shards)).cast("int")
+
+
 def _change_filters(filters: DataFrame | None, shards: int, changed: DataFrame) -> DataFrame:
-    """Applies ``changed(k1, k2, enters)`` to the shards' filters. A filter that
-    gets too full is made anew from the keys it is told of, in twice the size."""
+    """Applies ``changed(k1, k2, enters)`` to the shards' filters. One that gets too
+    full comes back empty, to be made anew of all its keys; without ``filters`` all
+    are made of the keys given, in twice the size as often as needed."""
     import pandas as pd
 
-    changed = changed.withColumn("shard", F.pmod(F.col("k1"), F.lit(shards)).cast("int"))
+    changed = changed.withColumn("shard", _shard(shards))
 
     def apply(held: CuckooFilter | None, keys: pd.DataFrame) -> CuckooFilter | None:
         k1, k2, enters = keys["k1"].to_numpy(), keys["k2"].to_numpy(), keys["enters"].to_numpy(dtype=bool)
@@ -162,8 +171,8 @@ def _change_filters(filters: DataFrame | None, shards: int, changed: DataFrame)
             return held[["shard", "filter"]]
         if not len(held):
             return fresh(keys)
-        f = apply(CuckooFilter.from_bytes(held["filter"].iloc[0]), keys)
-        # None: too full. An empty filter says "ask the exact table" for the shard.
+        raw = held["filter"].iloc[0]
+        f = apply(CuckooFilter.from_bytes(raw), keys) if len(raw) else None
         return pd.DataFrame({"shard": [int(held["shard"].iloc[0])], "filter": [f.to_bytes() if f else b""]})
 
     return filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(both, "shard int, filter binary")
@@ -190,7 +199,7 @@ class LineIndex:
         refs = materialise(line_references(df, min_chars), "line-refs")
         counts = materialise(_counts(refs).where(F.col("n_docs") > 1), "line-counts")
         shared = counts.where(F.col("n_docs") >= min_docs)
-        shards = max(1, -(-shared.count() // KEYS_A_SHARD))
+        shards = _planned_shards(shared)
         filters = materialise(_change_filters(None, shards, shared.select("k1", "k2", F.lit(True).alias("enters"))), "line-filters")
         return cls(refs, counts, filters, shards, min_chars, min_docs)
 
@@ -212,8 +221,18 @@ class LineIndex:
         counts = materialise(counts.unionByName(self.counts.join(keys, ["k1", "k2"], "left_anti")), "line-counts")
         was, now = (c.where(F.col("n_docs") >= self.min_docs).select("k1", "k2") for c in (self.counts, counts))
         changed = now.join(was, ["k1", "k2"], "left_anti").withColumn("enters", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("enters", F.lit(False)))
-        filters = materialise(_change_filters(self.filters, self.shards, changed), "line-filters")
-        return LineIndex(refs, counts, filters, self.shards, self.min_chars, self.min_docs)
+        shards, kept, entries = self.shards, self.filters.limit(0), now.withColumn("enters", F.lit(True))
+        if (planned := _planned_shards(now)) > 2 * shards:
+            # The index has outgrown its shards: more of them, all anew.
+            shards, anew = planned, entries
+        else:
+            kept = materialise(_change_filters(self.filters, shards, changed), "line-filters")
+            full = [r["shard"] for r in kept.where(F.length("filter") == 0).select("shard").collect()]
+            if not full:
+                return LineIndex(refs, counts, kept, shards, self.min_chars, self.min_docs)
+            kept, anew = kept.where(F.length("filter") > 0), entries.where(_shard(shards).isin(full))
+        filters = materialise(kept.unionByName(_change_filters(None, shards, anew)), "line-filters")
+        return LineIndex(refs, counts, filters, shards, self.min_chars, self.min_docs)
 
     def _maybe_shared(self) -> DataFrame:
         """References that pass the filters of their shards (all, if those are too large to send)."""

@@ -56,6 +56,35 @@ def test_insert_and_delete_undo_each_other(docs):
     assert sorted(map(tuple, back.dedupe(first, texts=False).collect())) == sorted(map(tuple, index.dedupe(first, texts=False).collect()))
 
 
+def lines_of(start, n, docs, first):
+    text = "\n".join(f"line number {i} that is long enough to be a key" for i in range(start, start + n))
+    return [(first + d, text) for d in range(docs)]
+
+
+def checked_filters(index):
+    """Every shared key passes the filter of its shard, and each shard has one that isn't empty."""
+    filters = {r.shard: line_dedup.CuckooFilter.from_bytes(bytes(r.filter)) for r in index.filters.collect() if len(r.filter)}
+    assert len(filters) == index.filters.count()
+    keys = index.counts.where(f"n_docs >= {index.min_docs}").toPandas()
+    k1, k2 = keys.k1.to_numpy(), keys.k2.to_numpy()
+    for s in np.unique(k1 % index.shards):
+        at = k1 % index.shards == s
+        assert filters[s].contains(k1[at] >> 8, k2[at]).all()
+
+
+def test_filters_that_overflow_are_made_anew(spark, monkeypatch):
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    few, many, more = lines_of(0, 10, 5, 0), lines_of(100, 600, 5, 100), lines_of(1000, 30, 5, 200)
+    for keys_a_shard in (line_dedup.KEYS_A_SHARD, 100):
+        monkeypatch.setattr(line_dedup, "KEYS_A_SHARD", keys_a_shard)
+        index = line_dedup.LineIndex.create(table(few))
+        for change, given, rows in (("insert", many, few + many), ("insert", more, few + many + more), ("delete", many, few + more)):
+            index = getattr(index, change)(table(given))
+            checked_filters(index)
+            assert sorted(map(tuple, index.dedupe(table(rows), texts=False).collect())) == deduped(rows)
+        assert index.shards == (7 if keys_a_shard == 100 else 1)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     k1, k2 = rng.integers(-(2**63), 2**63, (2, 5000))
