@@ -51,8 +51,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_calls.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return tool_calls.format_chats(calls, results, {"reply": tool_calls.REPLY_SCHEMA})
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    calls, results = tool_calls.turns_as_calls(turns)
+    return tool_calls.format_chats(calls, results, {"reply": tool_calls.REPLY_SCHEMA}, tool_calls.other_turns(turns))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -92,7 +92,8 @@ def turns_as_calls(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user's turn t is a call "reply" with id "conv:t"; it depends on the one two
     turns before. An assistant's turn is the result for the turn before it.
-    Other roles are neither. Null texts become null arguments or contents.
+    Turns of other roles are in :func:`other_turns`. Null texts become null
+    arguments or contents.
     """
     tag = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"), {"ignoreNullFields": "false"})
@@ -101,6 +102,11 @@ def turns_as_calls(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(df: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, content) of chat rows that are neither call nor result, null roles included."""
+    return df.where(F.col("role").isNull() | ~F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
 def _key(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -113,24 +119,33 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return left.hint("shuffle_hash").join(right, ["conv_id", "call_id"], "full_outer")
 
 
-def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row for each conversation that has a call or a result.
+def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], messages: DataFrame | None = None) -> DataFrame:
+    """One row for each conversation that has a call, a result or a message.
 
     ``calls(conv_id, turn, call_id, name, arguments, after)``, ``results(conv_id,
-    turn, call_id, content)``. Returns conv_id, n_calls, n_linked (calls with a
+    turn, call_id, content)``, ``messages(conv_id, turn, role, content)``: turns that
+    are neither, kept in the chat by turn, role and content. Returns conv_id, n_calls, n_linked (calls with a
     result), n_orphan_calls, n_orphan_results, n_invalid (arguments that are no
-    JSON or break the schema of the tool, or unknown tools), acyclic, call_order
+    JSON or break the schema of the tool, or unknown tools), n_messages, acyclic, call_order
     (ids, comma-joined), chat (canonical JSON) and chat_sha256. Several results of
     one call are listed by turn and content; repeated calls stay separate. A null
     call id is the id ""; rows of null conv_id link with nothing.
     """
-    linked = link(calls, results).groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "call", "result")).alias("links"))
+    links = link(calls, results)
+    if messages is None:
+        links = links.withColumn("message", F.lit(None).cast("struct<turn:bigint,role:string,content:string>"))
+    else:
+        links = links.unionByName(messages.select("conv_id", F.struct("turn", "role", "content").alias("message")), allowMissingColumns=True)
+    linked = links.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "call", "result", "message")).alias("links"))
 
     def chat(links: list[dict]) -> list:
         found: dict[str, dict] = {}
-        orphans = []
+        orphans, others = [], []
         for x in links:
             result = x["result"]
+            if x["message"] is not None:
+                others.append(x["message"])
+                continue
             if x["call"] is None:
                 orphans.append(result | {"call_id": x["call_id"]})
                 continue
@@ -151,12 +166,13 @@ def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
             by_turn = sorted(c["results"], key=lambda r: (r["turn"] is None, r["turn"] or 0, r["content"] or ""))
             rows.append({"id": c["call_id"], "name": c["name"], "arguments": arguments, "results": [r["content"] for r in by_turn], "errors": wrong})
         lost = sorted(([o["call_id"], o["content"]] for o in orphans), key=lambda o: (o[0], o[1] or ""))
-        text = canonical({"calls": rows, "orphan_results": lost})
+        others.sort(key=lambda m: (m["turn"] is None, m["turn"] or 0, m["role"] or "", m["content"] or ""))
+        text = canonical({"calls": rows, "messages": others, "orphan_results": lost})
         linked = sum(bool(c["results"]) for c in order)
-        return [len(rows), linked, len(rows) - linked, len(lost), invalid, acyclic, ",".join(c["call_id"] for c in order), text, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()]
+        return [len(rows), linked, len(rows) - linked, len(lost), invalid, len(others), acyclic, ",".join(c["call_id"] for c in order), text, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()]
 
-    names = ["n_calls", "n_linked", "n_orphan_calls", "n_orphan_results", "n_invalid", "acyclic", "call_order", "chat", "chat_sha256"]
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.string(), pa.string()]
+    names = ["n_calls", "n_linked", "n_orphan_calls", "n_orphan_results", "n_invalid", "n_messages", "acyclic", "call_order", "chat", "chat_sha256"]
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.string(), pa.string(), pa.string()]
 
     def work(batches):
         for b in batches:

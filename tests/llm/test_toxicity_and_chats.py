@@ -117,6 +117,21 @@ def test_conversations_against_plain_python(spark):
     assert not got
 
 
+def test_every_turn_is_in_its_chat(spark, tmp_path):
+    c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    only = spark.createDataFrame([(-1, 2, "tool", "b"), (-1, 1, "system", "é"), (-1, 2, "tool", "b"), (-2, 1, None, None)], "conv_id long, turn long, role string, text string")
+    c.select(only.columns).unionByName(only).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/conversations.parquet").toPandas().astype(object)
+    got = {r.conv_id: r for r in op10_tool_calls(spark, str(tmp_path)).collect()}
+    assert set(got) == set(rows.conv_id)
+    for conv, turns in rows.groupby("conv_id"):
+        others = [{"turn": r.turn, "role": r.role, "content": r.text} for r in turns.itertuples() if r.role not in ("user", "assistant")]
+        others.sort(key=lambda m: m["turn"])
+        assert json.loads(got[conv].chat)["messages"] == others and got[conv].n_messages == len(others)
+        assert got[conv].n_calls + got[conv].n_messages + sum(r.role == "assistant" for r in turns.itertuples()) == len(turns)
+    assert got[-1].n_messages == 3 and got[-2].n_messages == 1
+
+
 def test_empty_chats(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert tool_calls.format_chats(*tool_calls.turns_as_calls(none), {}).count() == 0
