@@ -113,8 +113,9 @@ def _key(c: str) -> Column:
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Full outer hash join by conversation and call id: one row for each call with
-    each of its results, each call without one, and each result without a call."""
-    left = calls.select(F.col("conv_id"), _key("call_id").alias("call_id"), F.struct("turn", "name", "arguments", "after").alias("call"))
+    each of its results, each call without one, and each result without a call.
+    A call's ``row`` tells it from its repeats."""
+    left = calls.select(F.col("conv_id"), _key("call_id").alias("call_id"), F.struct("turn", "name", "arguments", "after", F.monotonically_increasing_id().alias("row")).alias("call"))
     right = results.select(F.col("conv_id"), _key("call_id").alias("call_id"), F.struct("turn", "content").alias("result"))
     return left.hint("shuffle_hash").join(right, ["conv_id", "call_id"], "full_outer")
 
@@ -128,7 +129,7 @@ def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
     result), n_orphan_calls, n_orphan_results, n_invalid (arguments that are no
     JSON or break the schema of the tool, or unknown tools), n_messages, acyclic, call_order
     (ids, comma-joined), chat (canonical JSON) and chat_sha256. Several results of
-    one call are listed by turn and content; repeated calls stay separate. A null
+    one call are listed by turn and content; repeated calls stay separate, each with all results. A null
     call id is the id ""; rows of null conv_id link with nothing.
     """
     links = link(calls, results)
@@ -139,7 +140,7 @@ def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
     linked = links.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "call", "result", "message")).alias("links"))
 
     def chat(links: list[dict]) -> list:
-        found: dict[str, dict] = {}
+        found: dict[tuple[str, int], dict] = {}
         orphans, others = [], []
         for x in links:
             result = x["result"]
@@ -150,7 +151,8 @@ def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
                 orphans.append(result | {"call_id": x["call_id"]})
                 continue
             call = x["call"] | {"call_id": x["call_id"]}
-            held = found.setdefault(canonical(call), call | {"results": []})
+            row = call.pop("row")
+            held = found.setdefault((canonical(call), row), call | {"results": []})
             if result is not None:
                 held["results"].append(result)
         order, acyclic = ordered([found[k] for k in sorted(found)])

@@ -117,6 +117,14 @@ def test_conversations_against_plain_python(spark):
     assert not got
 
 
+def test_repeated_calls_stay_separate(spark):
+    calls = spark.createDataFrame([(1, 1, "a", "add", "{}", ["z"])] * 2 + [(1, 2, "b", "add", "{}", ["a"])], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>").repartition(3)
+    results = spark.createDataFrame([(1, 2, "a", "one"), (1, 3, "a", "two")], "conv_id long, turn long, call_id string, content string")
+    got = tool_calls.format_chats(calls, results, {"add": {"type": "object"}}).first()
+    assert (got.n_calls, got.n_linked, got.n_orphan_calls, got.call_order, got.acyclic) == (3, 2, 1, "a,a,b", True)
+    assert [c["results"] for c in json.loads(got.chat)["calls"]] == [["one", "two"], ["one", "two"], []]
+
+
 def test_every_turn_is_in_its_chat(spark, tmp_path):
     c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     only = spark.createDataFrame([(-1, 2, "tool", "b"), (-1, 1, "system", "é"), (-1, 2, "tool", "b"), (-2, 1, None, None)], "conv_id long, turn long, role string, text string")
