@@ -323,14 +323,13 @@ def shared_files(packed: DataFrame, partitions: int) -> DataFrame:
     return packed.repartition(partitions, "bucket").mapInArrow(work, "file long, set long, head long, many boolean")
 
 
-def _texts(df: DataFrame, reps: DataFrame) -> DataFrame:
-    """(set, rep, text) of representatives; ``reps(set, rep)`` goes to every task only if it is small."""
-    reps = F.broadcast(reps) if reps.count() <= SEND_IDS else reps
-    return df.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").dropDuplicates(["set"])
+def _texts(df: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(set, text, n, point, fine): a text of each set of ``reps(set, rep)`` with the set's size, coarse and fine points.
 
-
-def _points(texts: DataFrame, k: int) -> DataFrame:
-    """(set, n, point, fine): the set's coarse and fine points."""
+    Rows are looked up by representative and told apart by their own set, as rows may
+    share a doc_id or have none. ``reps`` goes to every task only if it is small.
+    """
+    import xxhash
 
     def work(batches):
         forget()
@@ -338,10 +337,17 @@ def _points(texts: DataFrame, k: int) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [ngram_set(t, k, memo) for t in b.column("text").to_pylist()]
-                cols = [b.column("set"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([point(s, g).tobytes() for s in sets], pa.binary()) for g in (COARSE, FINE))]
-                yield pa.RecordBatch.from_arrays(cols, names=["set", "n", "point", "fine"])
+                name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                cols = [pa.array(name), b.column("text"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([point(s, g).tobytes() for s in sets], pa.binary()) for g in (COARSE, FINE))]
+                yield pa.RecordBatch.from_arrays(cols, names=["set", "text", "n", "point", "fine"])
 
-    return texts.select("set", "text").mapInArrow(work, "set long, n long, point binary, fine binary")
+    sent = F.broadcast if reps.count() <= SEND_IDS else lambda x: x
+    named, nameless = reps.where(F.col("rep").isNotNull()), reps.where(F.col("rep").isNull())
+    rows = df.withColumnRenamed("doc_id", "rep").join(sent(named.select("rep").distinct()), "rep", "left_semi").select("text")
+    if nameless.limit(1).count():
+        rows = rows.unionByName(df.where(F.col("doc_id").isNull()).select("text"))
+    rows = rows.mapInArrow(work, "set long, text string, n long, point binary, fine binary")
+    return rows.join(sent(reps.select("set")), "set", "left_semi").dropDuplicates(["set"])
 
 
 def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, column: str = "point") -> DataFrame:
@@ -373,9 +379,8 @@ def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, colum
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b: representatives' ids) among the pairs of sets, decided on the n-grams."""
-    side = lambda c: texts.select(F.col("set").alias(c), F.col("rep").alias(f"r{c}"), F.col("text").alias(f"t{c}"))
-    kind = texts.schema["rep"].dataType.simpleString()
+    """Links (a, b) among the pairs of sets, decided on the n-grams."""
+    side = lambda c: texts.select(F.col("set").alias(c), F.col("text").alias(f"t{c}"))
 
     def work(batches):
         forget()
@@ -394,10 +399,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(den * both >= num * (len(x) + len(y) - both))
                 mask = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("ra").filter(mask), b.column("rb").filter(mask)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "ta", "tb")
-    return joined.mapInArrow(work, f"a {kind}, b {kind}")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    return joined.mapInArrow(work, "a long, b long")
 
 
 def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: int) -> DataFrame:
@@ -509,18 +514,18 @@ def _components(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("rep"))
     partitions = _partitions(sets, num, den)
     members = materialise(shared_files(filed(df, k, num, den, 8 * partitions), partitions), "ngram-files")
-    texts = materialise(_texts(df, reps.join(members.select("set").distinct(), "set", "left_semi")), "ngram-texts")
-    points = materialise(_points(texts, k), "ngram-points")
+    texts = materialise(_texts(df, materialise(reps.join(members.select("set").distinct(), "set", "left_semi"), "ngram-reps"), k), "ngram-texts")
+    points = texts.select("set", "n", "point", "fine")
     stars = members.where(F.col("set") != F.col("head")).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
     close = _within_bound(_within_bound(stars, points, num, den), points, num, den, "fine")
     links = materialise(_verified(close, texts, k, num, den), "ngram-links")
-    named = texts.select("set", "rep")
+    named = texts.select("set")
     labels = components(links)
     rest = members.where(F.col("many") & (F.col("set") != F.col("head"))).select("file", "set")
     small = named.count() <= SEND_IDS
     tested, width = None, FIRST_WIDTH
     while True:
-        comp = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("comp"))
+        comp = named.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("label", "set").alias("comp"))
         placed = rest.join(F.broadcast(comp) if small else comp, "set")
         found = materialise(_open_pairs(placed, points, num, den, width), "ngram-pairs")
         new = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
@@ -532,7 +537,9 @@ def _components(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
             break
         tested = found.select("a", "b") if tested is None else tested.unionByName(new)
         width *= 4
-    smallest = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("smallest"))
+    labels = labels.withColumnRenamed("node", "set")
+    least = reps.join(labels, "set").groupBy("label").agg(F.min("rep").alias("least"))
+    smallest = reps.join(labels.join(least, "label"), "set", "left").select("set", F.coalesce("least", "rep").alias("smallest"))
     out = sets.join(smallest, "set", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -67,6 +67,18 @@ def test_large_group_of_near_copies(spark, monkeypatch, k, num):
     assert sorted(map(tuple, ngram_join.ngram_components(df, k, num, 100).collect())) == want
 
 
+def test_rows_of_one_doc_id_or_none(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = lambda a, b: " ".join(words[a:b])
+    # 3-shingles: each text is linked with the next one of its line only; 7 stands on texts of two lines.
+    rows = [(5, text(0, 60)), (None, text(3, 63)), (6, text(6, 66)), (7, "x " + text(70, 100)), (8, text(70, 100)), (7, "y " + text(40, 70)), (9, text(40, 70)), (None, "z " + text(20, 40)), (None, text(0, 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.ngram_components(df).collect()))
+    sizes = [len(ngrams(t, 3)) for _, t in rows]
+    want = [(5, 5), (0, 5), (6, 5), (7, 7), (8, 7), (7, 7), (9, 7), (0, 0), (0, 0)]
+    assert got == sorted((d, n, c) for (d, c), n in zip(want, sizes, strict=True))
+
+
 def test_linked_sets_share_a_file():
     memo, rnd = WordHash(), random.Random(7)
     for num in (90, 80, 50):
