@@ -25,11 +25,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (a single-machine test session) a temporary folder
-    is made and registered, so that checkpoints and tables land in one place.
+    Only where it is unset and all runs in one process (``local[...]``) a
+    temporary folder is made and registered, so that checkpoints and tables
+    land in one place; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparrowdoc-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,20 +51,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
-def drop_table(df_path_spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Hadoop's file system API."""
-    jvm = df_path_spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df_path_spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`materialise` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def size_bytes(spark: SparkSession, path: str) -> int:
-    """Stored size of a written table, read from the file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that operators left in the shared folder; for a session's end,
+    when no result that reads them is wanted any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparrowdoc")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise
 
@@ -32,7 +33,7 @@ def _in_one_task(links: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "label"])
 
     name = links.schema["a"].dataType.simpleString()
-    kind = pa.string() if name == "string" else pa.int64()
+    kind = to_arrow_type(links.schema["a"].dataType)
     return links.repartition(1).mapInArrow(work, f"node {name}, label {name}")
 
 

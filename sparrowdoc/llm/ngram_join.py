@@ -14,11 +14,14 @@ pair meets in a band), and only points in one file are compared:
 2. then, in files whose points are still in different components, every other
    pair through an R-tree over the points whose nodes are skipped by the same
    bound. It goes in rounds: a point first meets its few likeliest partners,
-   and four times as many in each round, while links found so far join components.
-   The rounds end when no point has partners left that it has not met.
+   and in each round those points that have others left meet four times as many,
+   while links found so far join components. The rounds end when no point has
+   partners left that it has not met. The searches in a large file are dealt
+   to many tasks.
 
 Nothing is dropped: a link is missed by neither step, and pairs already in one
-component need no look, because the result is components.
+component need no look, because the result is components. A set is named by 64
+bits of a 128-bit hash; where two sets share these, both take the other 64.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_a_batch, slices
+from .common import discard, materialise, rows_a_batch, slices
 from .components import components
 from .encoding import forget
 from .license_scan import WordHash, mix, rolling
@@ -43,9 +46,18 @@ FINEST = 1 << 15
 COARSE, FINE = 8, 2
 #: Bytes of points sent to every task at most; more are joined to their rows.
 SEND_POINTS = 48 << 20
-#: Ids sent to every task at most.
+#: Ids sent to every task at most, and only if they are numbers, so of eight bytes or fewer.
 SEND_IDS = 1_000_000
-FAN = 32
+#: Points of a leaf, and children of an inner node.
+FAN = 8
+#: Searches of one file that a task makes; a larger file is dealt to more tasks.
+BLOCK = 4_000
+#: Pairs of one set in a join; the pairs of a set with more are dealt to more tasks.
+HOT = 500
+#: Bytes of file members handled together.
+HELD_BYTES = 8 << 20
+#: Names that may be shared by different sets: many more than chance gives any corpus.
+SHARED = 100_000
 #: Entries packed together, and entries that a task sorts.
 PACKED, SORTED = 1_000_000, 2_000_000
 #: Rows of an Arrow batch at most.
@@ -172,46 +184,89 @@ def file_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 class CountRTree:
     """Packed R-tree over points of counts; search prunes nodes by the bound.
 
-    Points are packed by size, then by their leading coordinates. A node keeps
-    the least and largest coordinates and sizes below it; the differences to
-    that box are a lower bound of the differences to any point in it. Counts
-    are modulo 256, so a box is only used for sizes where none has wrapped.
+    Points are packed by recursive tiling: a run of points is halved along the
+    coordinate that varies most in it (the set's size is one, too) until a leaf
+    holds ``FAN``. Each node keeps the least and largest coordinates and sizes
+    below it; the differences to that box are a lower bound of the differences to
+    any point in it. Counts are modulo 256: where they don't add up to the set's
+    size some have wrapped, and no box is used for such a set.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int):
         self.num, self.den = num, den
-        self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
+        self.order = self._tiled(points, sizes)
         self.points, self.sizes = points[self.order], sizes[self.order]
-        starts = np.arange(0, len(sizes), FAN)
-        self.low, self.high = (f.reduceat(self.points, starts, 0).astype(np.int16) for f in (np.minimum, np.maximum))
-        self.least, self.most = (f.reduceat(self.sizes, starts) for f in (np.minimum, np.maximum))
-        self.wrapped = self.most > 255
+        wrapped = self.points.sum(1, dtype=np.int64) != self.sizes
+        level = self.points, self.points, self.sizes, self.sizes, wrapped
+        self.levels = []
+        self.visited = 0
+        while not self.levels or len(level[0]) > 1:
+            starts = np.arange(0, len(level[0]), FAN)
+            level = tuple(f.reduceat(x, starts, 0) for f, x in zip((np.minimum, np.maximum, np.minimum, np.maximum, np.logical_or), level, strict=True))
+            self.levels.append((level[0].astype(np.int16), level[1].astype(np.int16), *level[2:]))
+
+    @staticmethod
+    def _tiled(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        order = np.arange(len(sizes))
+        todo = [(0, len(sizes))]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= FAN:
+                continue
+            rows = order[a:b]
+            held = points[rows].astype(np.float32)
+            spread = held.var(0)
+            most = int(spread.argmax())
+            by = sizes[rows] if sizes[rows].var() > spread[most] else held[:, most]
+            # A multiple of the leaf's size stands on the left, so no leaf straddles.
+            half = a + max(FAN, (b - a) // 2 // FAN * FAN)
+            order[a:b] = rows[np.argsort(by, kind="stable")]
+            todo += [(a, half), (half, b)]
+        return order
 
     def near(self, p: np.ndarray, n: int) -> np.ndarray:
         """Indices of points whose overlap bound with (p, n) allows a link."""
         num, den = self.num, self.den
-        fits = (self.least * num <= n * den) & (n * num <= self.most * den)
         x = p.astype(np.int16)[None, :]
-        outside = (np.maximum(self.low - x, 0) + np.maximum(x - self.high, 0)).sum(1, dtype=np.int64)
-        # Before rounding, the differences of a link grow with the sizes; rounded they don't, so a leaf of mixed sizes needs this.
-        allowed = (n + self.most) * (den - num) // (num + den)
-        fits &= self.wrapped | (n > 255) | (outside <= allowed)
-        out = []
-        for leaf in np.flatnonzero(fits):
-            a, b = leaf * FAN, min((leaf + 1) * FAN, len(self.sizes))
-            m = self.sizes[a:b]
-            ok = bound(p, n, self.points[a:b], m) >= needed(n, m, num, den)
-            out.append(self.order[a:b][ok])
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        boxed = int(p.sum(dtype=np.int64)) == n
+        nodes = np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            low, high, least, most, wrapped = (v[nodes] for v in self.levels[depth])
+            fits = (least * num <= n * den) & (n * num <= most * den)
+            if boxed and len(self.levels) > 1:
+                outside = (np.maximum(low - x, 0) + np.maximum(x - high, 0)).sum(1, dtype=np.int64)
+                # Before rounding, the differences of a link grow with the sizes; rounded they don't, so a node of mixed sizes needs this.
+                fits &= wrapped | (outside <= (n + most) * (den - num) // (num + den))
+            children = nodes[fits][:, None] * FAN + np.arange(FAN)[None, :]
+            below = len(self.levels[depth - 1][0]) if depth else len(self.sizes)
+            if not depth:
+                self.visited += len(children)
+            nodes = children[children < below]
+        m = self.sizes[nodes]
+        ok = bound(p, n, self.points[nodes], m) >= needed(n, m, num, den) if len(nodes) else np.zeros(0, bool)
+        return self.order[nodes[ok]]
 
 
 # ---- plan -------------------------------------------------------------------
 
 
-def set_table(df: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, set): size and 64-bit hash of each row's set."""
+def set_name(s: np.ndarray, shared: frozenset[int] = frozenset(), bits: int = 64) -> tuple[int, int]:
+    """(name, other half) of a set: halves of a 128-bit hash. A name in ``shared``, which sets
+    of different other halves have, gives way to the other half."""
     import xxhash
 
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    name, other = h >> 64 >> 64 - bits, h & 0xFFFFFFFFFFFFFFFF
+    return (other if name in shared else name), other
+
+
+def _signed(names: list[int]) -> pa.Array:
+    return pa.array(np.array(names, np.uint64).view(np.int64))
+
+
+def set_table(df: DataFrame, k: int, bits: int = 64) -> DataFrame:
+    """(doc_id, n, set, other): size and both halves of the hash of each row's set."""
+
     def work(batches):
         forget()
         memo = WordHash()
@@ -219,14 +274,23 @@ def set_table(df: DataFrame, k: int) -> DataFrame:
             for b in slices(whole, "text"):
                 sets = [ngram_set(t, k, memo) for t in b.column("text").to_pylist()]
                 n = pa.array([len(s) for s in sets], pa.int64())
-                name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(name)], names=["doc_id", "n", "set"])
+                names = [set_name(s, bits=bits) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, *(_signed([x[i] for x in names]) for i in (0, 1))], names=["doc_id", "n", "set", "other"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, set long")
+    return df.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n long, set long, other long")
+
+
+def shared_names(sets: DataFrame) -> frozenset[int]:
+    """Names that different sets have: some three among 10^10 sets."""
+    twice = sets.groupBy("set").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("set")
+    found = twice.limit(SHARED + 1).collect()
+    if len(found) > SHARED:
+        raise ValueError("more sets share a name than 64 bits explain")
+    return frozenset(r["set"] & 0xFFFFFFFFFFFFFFFF for r in found)
 
 
-def filed(df: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+def filed(df: DataFrame, k: int, num: int, den: int, buckets: int, shared: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """(bucket, pack): every file of every set, packed. A task files equal sets once.
 
     Files are dealt to buckets by hash. A pack has one bucket's entries of many
@@ -234,7 +298,6 @@ def filed(df: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
     file, so that an entry takes some seven bytes. Two files whose 40 bits and
     bucket agree by chance are one file: more to compare, nothing lost.
     """
-    import xxhash
 
     def packs(keys, names):
         counts = np.fromiter(map(len, keys), np.int64, len(keys))
@@ -260,7 +323,7 @@ def filed(df: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
             for b in slices(whole, "text"):
                 for t in b.column("text").to_pylist():
                     s = ngram_set(t, k, memo)
-                    if not len(s) or (name := xxhash.xxh3_64_intdigest(s.tobytes())) in seen:
+                    if not len(s) or (name := set_name(s, shared, bits)[0]) in seen:
                         continue
                     if len(seen) > 1_000_000:
                         seen.clear()
@@ -289,7 +352,7 @@ def unpacked(bucket: int, pack: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_files(packed: DataFrame, partitions: int) -> DataFrame:
-    """(file, set, head, many) of files with two or more sets; head is the file's first set, many: it has more than two.
+    """(file, set, head, size) of files with two or more sets; head is the file's first set, size their number.
 
     A task sorts the entries of its buckets, 16 bytes each; ``partitions`` is
     chosen so that these are a few million.
@@ -316,20 +379,24 @@ def shared_files(packed: DataFrame, partitions: int) -> DataFrame:
         f, s = f[give], s[give]
         start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.empty(0, np.int64)
         held = np.diff(np.r_[start, len(f)])
-        head, many = np.repeat(s[start], held), np.repeat(held > 2, held)
+        head, size = np.repeat(s[start], held), np.repeat(held, held)
         for at in range(0, len(f), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (f, s, head, many)], names=["file", "set", "head", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (f, s, head, size)], names=["file", "set", "head", "size"])
+
+    return packed.repartition(partitions, "bucket").mapInArrow(work, "file long, set long, head long, size long")
 
-    return packed.repartition(partitions, "bucket").mapInArrow(work, "file long, set long, head long, many boolean")
 
+def _numbers(df: DataFrame, column: str) -> bool:
+    """Whether the column's ids are numbers, and few enough to be sent to every task."""
+    return df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") and df.count() <= SEND_IDS
 
-def _texts(df: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+
+def _texts(df: DataFrame, reps: DataFrame, k: int, shared: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """(set, text, n, point, fine): a text of each set of ``reps(set, rep)`` with the set's size, coarse and fine points.
 
     Rows are looked up by representative and told apart by their own set, as rows may
     share a doc_id or have none. ``reps`` goes to every task only if it is small.
     """
-    import xxhash
 
     def work(batches):
         forget()
@@ -337,11 +404,10 @@ def _texts(df: DataFrame, reps: DataFrame, k: int) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [ngram_set(t, k, memo) for t in b.column("text").to_pylist()]
-                name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                cols = [pa.array(name), b.column("text"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([point(s, g).tobytes() for s in sets], pa.binary()) for g in (COARSE, FINE))]
+                cols = [_signed([set_name(s, shared, bits)[0] for s in sets]), b.column("text"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([point(s, g).tobytes() for s in sets], pa.binary()) for g in (COARSE, FINE))]
                 yield pa.RecordBatch.from_arrays(cols, names=["set", "text", "n", "point", "fine"])
 
-    sent = F.broadcast if reps.count() <= SEND_IDS else lambda x: x
+    sent = F.broadcast if _numbers(reps, "rep") else lambda x: x
     named, nameless = reps.where(F.col("rep").isNotNull()), reps.where(F.col("rep").isNull())
     rows = df.withColumnRenamed("doc_id", "rep").join(sent(named.select("rep").distinct()), "rep", "left_semi").select("text")
     if nameless.limit(1).count():
@@ -350,9 +416,28 @@ def _texts(df: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return rows.join(sent(reps.select("set")), "set", "left_semi").dropDuplicates(["set"])
 
 
-def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, column: str = "point") -> DataFrame:
+def _hot(pairs: DataFrame) -> DataFrame | None:
+    """(hot, salts): the sets of more than ``HOT`` pairs, if any, and the groups that their pairs are dealt to."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("hot")).groupBy("hot").count().where(F.col("count") > HOT)
+    found = materialise(ends.select("hot", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "ngram-hot")
+    n = found.count()
+    return (F.broadcast(found) if n <= SEND_IDS else found) if n else None
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, end: str, hot: DataFrame | None) -> DataFrame:
+    """The pairs with the columns of ``sets(set, ...)`` for one of their ends, the columns' names
+    marked by it. Hot sets stand once for each group of their pairs."""
+    marked = sets.withColumnsRenamed({c: f"{c}_{end}" for c in sets.columns if c != "set"}).withColumnRenamed("set", end)
+    if hot is None:
+        return pairs.join(marked, end)
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, F.col(end) == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("hot", "salts")
+    copies = marked.join(hot, F.col(end) == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("hot", "salts")
+    return dealt.join(copies, [end, "salt"]).drop("salt")
+
+
+def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, hot: DataFrame | None, column: str = "point") -> DataFrame:
     """The pairs (a, b) whose bound, over the points in ``column``, allows a link."""
-    side = lambda c: points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"p{c}"))
 
     def differences(x: list[bytes], y: list[bytes]) -> np.ndarray:
         out = np.empty(len(x), np.int64)
@@ -368,28 +453,28 @@ def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, colum
 
     def work(batches):
         for whole in batches:
-            for b in slices(whole, "pa"):
-                na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-                top = (na + nb - differences(b.column("pa").to_pylist(), b.column("pb").to_pylist())) // 2
+            for b in slices(whole, "p_a"):
+                na, nb = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+                top = (na + nb - differences(b.column("p_a").to_pylist(), b.column("p_b").to_pylist())) // 2
                 ok = pa.array(top >= needed(na, nb, num, den))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    sets = points.select("set", "n", F.col(column).alias("p"))
+    joined = _beside(_beside(pairs, sets, "a", hot), sets, "b", hot).select("a", "b", "n_a", "n_b", "p_a", "p_b")
     return joined.mapInArrow(work, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, hot: DataFrame | None) -> DataFrame:
     """Links (a, b) among the pairs of sets, decided on the n-grams."""
-    side = lambda c: texts.select(F.col("set").alias(c), F.col("text").alias(f"t{c}"))
 
     def work(batches):
         forget()
         memo = WordHash()
         held: dict[int, np.ndarray] = {}
         for whole in batches:
-            for b in slices(whole, "ta"):
+            for b in slices(whole, "text_a"):
                 ok = []
-                for a, c, ta, tb in zip(*(b.column(x).to_pylist() for x in ("a", "b", "ta", "tb")), strict=True):
+                for a, c, ta, tb in zip(*(b.column(x).to_pylist() for x in ("a", "b", "text_a", "text_b")), strict=True):
                     if len(held) > 200:
                         held.clear()
                     x = held.get(a)
@@ -401,17 +486,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 mask = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    sets = texts.select("set", "text")
+    joined = _beside(_beside(pairs, sets, "a", hot), sets, "b", hot).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(work, "a long, b long")
 
 
-def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """(a, b, more): pairs of sets of one file and different components whose bound allows a link.
-
-    ``rows(file, set, comp)``: the files' sets but their heads, which have met all
-    others. A file whose sets are in one component is passed over; each other is one
-    R-tree; most points have 256 bytes. A set gives at most ``width``
-    pairs a file, those with the highest bound; ``more`` tells that it has others.
+def _whole_files(batches):
+    """The batches' rows, sorted by file, in tables of whole files."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size < HELD_BYTES:
+            continue
+        f, part = b.column("file").to_numpy(), b.column("part").to_numpy()
+        cut = int(np.flatnonzero((f != f[-1]) | (part != part[-1]))[-1]) + 1 if (f[0], part[0]) != (f[-1], part[-1]) else 0
+        if cut:
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+            held, size = [b.slice(cut)], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: int, partitions: int) -> DataFrame:
+    """(a, b, open): pairs of sets of one file and different components whose bound allows a link.
+
+    ``rows(file, size, set, comp, ask)``: the files' sets but their heads, which have met
+    all others. A file whose sets are in one component is passed over; each other is one
+    R-tree, in which the sets that ``ask`` look for partners of a larger name; the searches of
+    a file of more than ``BLOCK`` sets are dealt to several tasks. Most points have 256
+    bytes. A search gives at most ``width`` pairs, those with the highest bound; if there
+    are others, a row says so: ``open``, with the file as ``a`` and the set as ``b``.
     """
     points = points.drop("fine")
     sent = None
@@ -423,69 +531,54 @@ def _open_pairs(rows: DataFrame, points: DataFrame, num: int, den: int, width: i
     else:
         rows = rows.join(points, "set")
 
-    def pairs_of(names, comps, sizes, matrix):
-        tree = CountRTree(matrix, sizes, num, den) if len(names) > FAN else None
-        for i in range(len(names)):
-            n = int(sizes[i])
-            j = np.arange(i + 1, len(names)) if tree is None else tree.near(matrix[i], n)
-            j = j[(comps[j] != comps[i]) & (j > i)]
-            if not len(j):
-                continue
-            spare = bound(matrix[i], n, matrix[j], sizes[j]) - needed(n, sizes[j], num, den)
-            j, spare = j[spare >= 0], spare[spare >= 0]
-            more = len(j) > width
-            if more:
-                j = j[np.argsort(-spare, kind="stable")[:width]]
-            for x in names[j].tolist():
-                yield (int(names[i]), x, more) if names[i] < x else (x, int(names[i]), more)
-
-    def work(batches):
-        found: set = set()
-        held: list[pa.RecordBatch] = []
-
-        def close(parts):
-            table = pa.Table.from_batches(parts)
-            names, comps = table.column("set").to_numpy(), table.column("comp").to_numpy()
-            if len(names) < 2 or (comps == comps[0]).all():
-                return
+    def searched(table: pa.Table):
+        column = lambda c: table.column(c).to_numpy()
+        files, parts, names, comps, asks = map(column, ("file", "part", "set", "comp", "asks"))
+        starts = np.flatnonzero(np.r_[True, (files[1:] != files[:-1]) | (parts[1:] != parts[:-1])])
+        ends = np.r_[starts[1:], len(files)]
+        busy = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & np.logical_or.reduceat(asks, starts)
+        if sent is not None:
+            all_names, all_sizes, place, flat = sent.value
+        for x, y in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
+            name, comp = names[x:y], comps[x:y]
             if sent is not None:
-                all_names, all_sizes, starts, flat = sent.value
-                at = np.searchsorted(all_names, names)
-                sizes, raw = all_sizes[at], [memoryview(flat)[starts[i] : starts[i + 1]] for i in at.tolist()]
+                at = np.searchsorted(all_names, name)
+                sizes, raw = all_sizes[at], [memoryview(flat)[place[i] : place[i + 1]] for i in at.tolist()]
             else:
-                sizes, raw = table.column("n").to_numpy(), table.column("point").to_pylist()
+                sizes, raw = table.column("n")[x:y].to_numpy(), table.column("point")[x:y].to_pylist()
             # The file's sizes are alike; its points are compared over as many groups as all have.
             groups = min(map(len, raw))
             matrix = np.stack([folded(np.frombuffer(p, np.uint8), groups) for p in raw])
-            found.update(pairs_of(names, comps, sizes, matrix))
+            tree = CountRTree(matrix, sizes, num, den)
+            for i in np.flatnonzero(asks[x:y]).tolist():
+                j = tree.near(matrix[i], int(sizes[i]))
+                j = j[(comp[j] != comp[i]) & (name[j] > name[i])]
+                if len(j) > width:
+                    spare = bound(matrix[i], int(sizes[i]), matrix[j], sizes[j]) - needed(int(sizes[i]), sizes[j], num, den)
+                    j = j[np.lexsort((name[j], -spare))[:width]]
+                    yield int(files[x]), int(name[i]), True
+                for b in name[j].tolist():
+                    yield int(name[i]), b, False
+
+    def work(batches):
+        found: set = set()
 
         def give():
-            a, b, more = zip(*found, strict=True)
+            a, b, is_open = zip(*found, strict=True)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(is_open, pa.bool_())], names=["a", "b", "open"])
 
-        for b in batches:
-            f = b.column("file").to_numpy()
-            if not len(f):
-                continue
-            if held and held[0].column("file")[0].as_py() != f[0]:
-                close(held)
-                held = []
-            starts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]).tolist()
-            for x, y in zip(starts, [*starts[1:], len(f)], strict=True):
-                held.append(b.slice(x, y - x))
-                if y < len(f):
-                    close(held)
-                    held = []
+        for table in _whole_files(batches):
+            found.update(searched(table))
             if len(found) > 500_000:
                 yield give()
-        if held:
-            close(held)
         if found:
             yield give()
 
-    dealt = rows.repartition("file").sortWithinPartitions("file")
-    return dealt.mapInArrow(work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("asks", F.col("ask") & (F.pmod("set", parts) == F.col("part")))
+    dealt = rows.drop("size", "ask").repartition(partitions, "file", "part").sortWithinPartitions("file", "part")
+    return dealt.mapInArrow(work, "a long, b long, open boolean").distinct()
 
 
 def _partitions(sets: DataFrame, num: int, den: int) -> int:
@@ -508,35 +601,55 @@ def ngram_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
         return _components(df, k, num, den)
 
 
-def _components(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _named(df: DataFrame, k: int, bits: int) -> tuple[DataFrame, frozenset[int]]:
+    """The table (doc_id, n, set) of all rows, and the names that more than one set had."""
+    sets = materialise(set_table(df, k, bits), "ngram-sets")
+    shared = shared_names(sets.where(F.col("n") > 0))
+    if shared:
+        signed = [x - (1 << 64) if x >> 63 else x for x in shared]
+        sets = sets.withColumn("set", F.when(F.col("set").isin(signed), F.col("other")).otherwise(F.col("set")))
+    return sets.drop("other"), shared
+
+
+def _components(df: DataFrame, k: int, num: int, den: int, bits: int = 64) -> DataFrame:
     df = df.select("doc_id", "text")
-    sets = materialise(set_table(df, k), "ngram-sets")
+    sets, shared = _named(df, k, bits)
     reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("rep"))
     partitions = _partitions(sets, num, den)
-    members = materialise(shared_files(filed(df, k, num, den, 8 * partitions), partitions), "ngram-files")
-    texts = materialise(_texts(df, materialise(reps.join(members.select("set").distinct(), "set", "left_semi"), "ngram-reps"), k), "ngram-texts")
+    members = materialise(shared_files(filed(df, k, num, den, 8 * partitions, shared, bits), partitions), "ngram-files")
+    wanted = materialise(reps.join(members.select("set").distinct(), "set", "left_semi"), "ngram-reps")
+    texts = materialise(_texts(df, wanted, k, shared, bits), "ngram-texts")
     points = texts.select("set", "n", "point", "fine")
-    stars = members.where(F.col("set") != F.col("head")).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()
-    close = _within_bound(_within_bound(stars, points, num, den), points, num, den, "fine")
-    links = materialise(_verified(close, texts, k, num, den), "ngram-links")
+    stars = materialise(members.where(F.col("set") != F.col("head")).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct(), "ngram-stars")
+    hot = _hot(stars)
+    close = _within_bound(_within_bound(stars, points, num, den, hot), points, num, den, hot, "fine")
+    links = materialise(_verified(close, texts, k, num, den, hot), "ngram-links")
     named = texts.select("set")
     labels = components(links)
-    rest = members.where(F.col("many") & (F.col("set") != F.col("head"))).select("file", "set")
+    rest = members.where((F.col("size") > 2) & (F.col("set") != F.col("head"))).select("file", "size", "set")
     small = named.count() <= SEND_IDS
-    tested, width = None, FIRST_WIDTH
+    asking, tested, width = None, None, FIRST_WIDTH
+    done = [members, wanted, texts, stars, links]
     while True:
         comp = named.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("label", "set").alias("comp"))
-        placed = rest.join(F.broadcast(comp) if small else comp, "set")
-        found = materialise(_open_pairs(placed, points, num, den, width), "ngram-pairs")
-        new = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        more = materialise(_verified(_within_bound(new, points, num, den, "fine"), texts, k, num, den), "ngram-links")
+        rows = rest.withColumn("ask", F.lit(True)) if asking is None else rest.join(asking.select("file").distinct(), "file", "left_semi").join(asking, ["file", "set"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        found = materialise(_open_pairs(rows.join(F.broadcast(comp) if small else comp, "set"), points, num, den, width, partitions), "ngram-pairs")
+        new = found.where("NOT open").select("a", "b")
+        if tested is not None:
+            new = new.join(tested, ["a", "b"], "left_anti")
+        new = materialise(new, "ngram-new")
+        hot = _hot(new)
+        more = materialise(_verified(_within_bound(new, points, num, den, hot, "fine"), texts, k, num, den, hot), "ngram-links")
+        done += [found, new, more]
         if more.limit(1).count():
             # The labels stand for the links already found.
             labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        if not found.where("more").limit(1).count():
+        asking = found.where("open").select(F.col("a").alias("file"), F.col("b").alias("set"), F.lit(True).alias("ask"))
+        if not asking.limit(1).count():
             break
-        tested = found.select("a", "b") if tested is None else tested.unionByName(new)
+        tested = new if tested is None else tested.unionByName(new)
         width *= 4
+    discard(*done)
     labels = labels.withColumnRenamed("node", "set")
     least = reps.join(labels, "set").groupBy("label").agg(F.min("rep").alias("least"))
     smallest = reps.join(labels.join(least, "label"), "set", "left").select("set", F.coalesce("least", "rep").alias("smallest"))
@@ -551,4 +664,4 @@ def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     which names their component (they are one document).
     """
     gone = materialise(ngram_components(df, k, num, den).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "ngram-gone")
-    return df.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, "doc_id", "left_anti")
+    return df.join(F.broadcast(gone) if _numbers(gone, "doc_id") else gone, "doc_id", "left_anti")

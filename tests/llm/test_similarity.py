@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowdoc.llm import components as comps
 from sparrowdoc.llm import ngram_join, spotsigs
@@ -61,12 +62,47 @@ def test_large_group_of_near_copies(spark, monkeypatch, k, num):
     want = joined(rows, k, num, 100)
     assert sorted(map(tuple, ngram_join.ngram_components(df, k, num, 100).collect())) == want
     # Neither sending points and ids to all tasks nor joining links in one task changes anything.
-    for name, value in (("SEND_POINTS", -1), ("SEND_IDS", -1)):
+    for name, value in (("SEND_POINTS", -1), ("SEND_IDS", -1), ("BLOCK", 7), ("HOT", 5), ("HELD_BYTES", 1000)):
         monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "components", lambda links: comps.components(links, one_task=-1))
     assert sorted(map(tuple, ngram_join.ngram_components(df, k, num, 100).collect())) == want
 
 
+def test_sets_that_share_a_name_stay_apart(docs, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    # Four bits: nearly every name is one of several sets.
+    assert len(ngram_join._named(docs.select("doc_id", "text"), 3, 4)[1]) > 8
+    assert sorted(map(tuple, ngram_join._components(docs, 3, 90, 100, bits=4).collect())) == joined(rows, 3, 90, 100)
+
+
+def test_tree_skips_leaves():
+    rnd = np.random.default_rng(8)
+    new = lambda n: rnd.integers(0, 2**63, n).astype(np.uint64)
+    for n, a_group in ((200, 8), (600, 1), (3000, 1)):
+        # Groups of near copies, as files hold them, and a tree over all.
+        sets = []
+        for _ in range(20):
+            base = new(n)
+            sets += [np.r_[base[3:], new(3)] for _ in range(32)]
+        points, sizes = np.stack([ngram_join.point(s, a_group) for s in sets]), np.array([len(s) for s in sets])
+        tree = ngram_join.CountRTree(points, sizes, 90, 100)
+        for i in range(0, 640, 32):
+            assert set(range(i, i + 32)) <= set(tree.near(points[i], n).tolist())
+        assert tree.visited < 20 * len(tree.levels[0][0]) / 4, (n, tree.visited)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_kinds_of_id(spark, docs, kind):
+    want = {(int(r.doc_id), r.n_shingles) for r in ngram_join.ngram_components(docs).collect()}
+    cast = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = ngram_join.ngram_components(cast)
+    assert got.schema["component_id"].dataType.simpleString() == kind
+    assert {(int(r.doc_id), r.n_shingles) for r in got.collect()} == want
+    assert {int(r.doc_id) for r in ngram_join.keep_one(cast).collect()} >= {0, 3, 6}
+    links = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    assert {r.label for r in comps.components(links).collect()} == {1 if kind == "int" else "1"}
+
+
 def test_rows_of_one_doc_id_or_none(spark):
     words = [f"w{i}" for i in range(100)]
     text = lambda a, b: " ".join(words[a:b])
@@ -119,8 +155,8 @@ def test_tree_finds_boundary_pairs_in_leaves_of_mixed_sizes(num):
         swapped = n - ngram_join.needed(n, n, num, 100)
         a = new(n)
         b = np.r_[a[swapped:], new(swapped)]
-        # The leaf: b, and 31 sets of b and one more n-gram.
-        sets = [b, *(np.r_[b, new(1)] for _ in range(ngram_join.FAN - 1))]
+        # One leaf of several: b, and sets of b and one more n-gram.
+        sets = [b, *(np.r_[b, new(1)] for _ in range(4 * ngram_join.FAN - 1))]
         points, sizes = np.stack([ngram_join.point(s) for s in sets]), np.array([len(s) for s in sets])
         tree, p = ngram_join.CountRTree(points, sizes, num, 100), ngram_join.point(a)
         passed = np.flatnonzero(ngram_join.bound(p, n, points, sizes) >= ngram_join.needed(n, sizes, num, 100))
@@ -137,6 +173,7 @@ def test_shared_files(spark, monkeypatch):
         for f in ngram_join.file_keys(s, 90, 100).tolist():
             held.setdefault(f, set()).add(s.tobytes())
     got = ngram_join.shared_files(ngram_join.filed(df, 3, 90, 100, 16), 3).collect()
+    assert all(r.size == sum(o.file == r.file for o in got) for r in got[:20])
     files = {}
     for r in got:
         files.setdefault(r.file, []).append(r)
