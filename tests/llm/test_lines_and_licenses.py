@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from sparrowdoc.llm import license_scan, line_dedup
 
@@ -18,9 +19,10 @@ def key(line):
 
 def deduped(rows, least=40, docs=5):
     held = collections.defaultdict(list)
+    rows = [(-1 if i is None else i, t) for i, t in rows]  # rows without an id are one document, the first
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            if len(k) >= least:
+            if len(k) >= least and i not in held[k]:
                 held[k].append(i)
     out = []
     for i, t in rows:
@@ -36,10 +38,35 @@ def test_dedupe(docs):
     assert got == deduped(rows) and sum(r[2] for r in got) == 5
 
 
-def test_dedupe_without_broadcast_filters(docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_LIMIT", -1)
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(map(tuple, line_dedup.dedupe_lines(docs, texts=False).collect())) == deduped(rows)
+@pytest.mark.parametrize(("keys", "rows"), [(3, 250_000), (100_000, 4), (2, 2)])
+def test_small_shards_and_groups(spark, monkeypatch, keys, rows):
+    monkeypatch.setattr(line_dedup, "KEYS_A_SHARD", keys)
+    monkeypatch.setattr(line_dedup, "ROWS_A_GROUP", rows)
+    given = lines_of(0, 9, 40, 0) + lines_of(5, 3, 4, 100) + [(7, None), (200, "")]
+    got = line_dedup.dedupe_lines(spark.createDataFrame(given, "doc_id long, text string").repartition(3), texts=False)
+    assert sorted(map(tuple, got.collect())) == deduped(given)
+
+
+def test_documents_count_and_not_rows(spark):
+    line = "this line of forty characters and more is all there is"
+    rows = [(1, line)] * 4 + [(2, line)] + [(3, f"{line}\nshort\n{line}")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.dedupe_lines(df, texts=False).collect())) == deduped(rows)
+    more = rows + [(4, line), (9, line), (9, line)]
+    got = line_dedup.dedupe_lines(spark.createDataFrame(more, "doc_id long, text string"), texts=False)
+    want = deduped(more)
+    assert sorted(map(tuple, got.collect())) == want and {d: n for d, _, n, _ in want} == {1: 1, 2: 1, 3: 2, 4: 1, 9: 0}
+    words = [(f"id{d}", t) for d, t in more]
+    got = line_dedup.dedupe_lines(spark.createDataFrame(words, "doc_id string, text string"), texts=False)
+    assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(f"id{d}", n) for d, _, n, _ in want]
+
+
+def test_carried_columns_of_clashing_names(spark):
+    line = "this line of forty characters and more is all there is"
+    df = spark.createDataFrame([(i, line, 5, "x", "y") for i in range(6)], "doc_id long, text string, n_lines int, _drops string, `a b` string")
+    got = line_dedup.dedupe_lines(df, carry=("n_lines", "_drops", "a b"))
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept", "_drops", "a b"]
+    assert sorted((r.n_lines, r.n_dropped, r._drops, r["a b"]) for r in got.collect()) == [(1, 0, "x", "y")] + [(1, 1, "x", "y")] * 5
 
 
 def test_insert_and_delete_undo_each_other(docs):
@@ -103,7 +130,31 @@ def test_null_ids_and_empty_tables(spark, nothing, nulls):
     assert sorted(r.n_lines for r in got) == [1, 1, 1] and all(r.n_dropped == 0 for r in got)
     line = "this line of forty characters and more is all there is"
     same = spark.createDataFrame([(None, line)] * 4 + [(2, line)], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.n_dropped) for r in line_dedup.dedupe_lines(same).collect()) == [(-1, 1)] * 4 + [(2, 0)]
+    # Rows without an id are one document, so here are two.
+    assert {r.n_dropped for r in line_dedup.dedupe_lines(same).collect()} == {0}
+    got = line_dedup.dedupe_lines(same, min_docs=2).collect()
+    assert sorted((r.doc_id or -1, r.n_dropped) for r in got) == [(-1, 1)] * 4 + [(2, 0)]
+    assert {r.n_dropped for r in line_dedup.dedupe_lines(spark.createDataFrame([(1, line), (2, "short")], same.schema), min_docs=1).collect()} == {0}
+
+
+def test_many_changes_leave_what_their_sum_leaves(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PARTS", 3)
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    held = lines_of(0, 4, 5, 0)
+    index = line_dedup.LineIndex.create(table(held))
+    for i in range(1, 5):
+        new = lines_of(2 * i, 5, 3, 10 * i)
+        index = index.insert(table(new))
+        held += new
+        if i % 2:
+            # One that is there and one that never was.
+            index = index.delete(table([(10 * i, ""), (777, "")]))
+            held = [x for x in held if x[0] != 10 * i]
+    assert len(index.ref_parts) <= 4
+    checked_filters(index)
+    assert sorted(map(tuple, index.dedupe(table(held), texts=False).collect())) == deduped(held)
+    again = index.insert(table(held))  # what is there already changes nothing
+    assert sorted(map(tuple, again.counts.collect())) == sorted(map(tuple, index.counts.collect()))
 
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
