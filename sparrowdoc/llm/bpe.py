@@ -16,6 +16,7 @@ import hashlib
 import json
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -178,6 +179,11 @@ class PrefixEncoder(ChunkEncoder):
         known = self.known(chunks)
         shown = [self.shown[k] if k in self.shown else self._show(k) for k in known]
         raw = joined(offsets, pa.array(known, pa.binary()).take(number), b"")
+        if not all(known):
+            # A chunk of white space beyond ASCII has no ids, so nothing of it is decoded.
+            stays = np.fromiter(map(bool, known), bool, len(known))[number.to_numpy()]
+            offsets = pa.array(np.r_[0, np.cumsum(stays)][offsets.to_numpy()].astype(np.int32))
+            number = number.filter(pa.array(stays))
         return raw.to_pylist(), joined(offsets, pa.array(shown, pa.string()).take(number), " ").to_pylist()
 
     def _show(self, ids: bytes) -> str:
@@ -203,8 +209,6 @@ def encode_decode(df: DataFrame, tokenizer: str | None = None, ids: bool = True)
     path = tokenizer or default_tokenizer()
 
     def work(batches):
-        import numpy as np
-
         enc = prefix_encoder(path)
         for whole in batches:
             for b in slices(whole, "text", SLICE):
