@@ -2,9 +2,9 @@
 
 Every round packs items by best fit, the longest first, inside hash partitions
 of bounded size. Bins that are nearly full are done. The rest become items of
-the next round, as long as the sum of what they hold, and are dealt to fewer
-partitions, until one partition holds all of them or no two of them fit
-together. Following an item through the rounds gives its sequence and offset.
+the next round, as long as the sum of what they hold, and are dealt anew to the
+fewer partitions that they need, until one partition holds all of them or
+hardly any two of them fit together. Following an item through the rounds gives its sequence and offset.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ CAPACITY = 4096
 ITEMS_A_PARTITION = 40_000
 #: A bin whose free space is at most this part of the capacity is nearly full.
 SLACK = 1 / 256
-FAN_IN = 16
+#: Rounds go on while one joins at least this part of its items to others.
+LEAST_GAIN = 1 / 256
+#: The column that numbers the pieces.
+ITEM = "_packed_item"
 
 
 def tokenise_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
@@ -82,8 +85,8 @@ def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int
     return out
 
 
-def _round(items: DataFrame, parts: int, capacity: int) -> DataFrame:
-    """One round over ``items(item, length)``: (item, bin, at, length)."""
+def _round(items: DataFrame, parts: int, capacity: int, turn: int = 0) -> DataFrame:
+    """One round over ``items(item, length)``: (item, bin, at, length). Every turn deals them anew."""
 
     def work(batches):
         import numpy as np
@@ -96,43 +99,44 @@ def _round(items: DataFrame, parts: int, capacity: int) -> DataFrame:
             rows = best_fit(list(zip(np.concatenate(ids).tolist(), np.concatenate(lengths).tolist(), strict=True)), capacity)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["item", "bin", "at", "length"])
 
-    dealt = items.select("item", "length").repartition(parts, F.xxhash64("item"))
+    dealt = items.select("item", "length").repartition(parts, F.xxhash64("item", F.lit(turn)))
     return dealt.mapInArrow(work, "item long, bin long, at long, length long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, items_a_partition: int = ITEMS_A_PARTITION, slack: float = SLACK, fan_in: int = FAN_IN) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, items_a_partition: int = ITEMS_A_PARTITION, slack: float = SLACK, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Packs ``pieces(length, ...)`` into sequences of at most ``capacity``.
 
     Adds sequence_id (long, any numbers) and offset (long, gapless from 0 in
-    each sequence) and keeps every row and column. Lengths lie in 1..capacity.
-    Repeated rows are packed each for itself; an empty table stays empty.
+    each sequence) and keeps every row and column; columns of these two names
+    are replaced. Lengths lie in 1..capacity. Repeated rows are packed each for
+    itself; an empty table stays empty. No round gives a partition more than
+    some ``items_a_partition`` items: the rounds end when one partition has held
+    all open bins, or when a round has joined less than ``least_gain`` of them.
     """
-    clash = {"item", "bin", "at", "sequence_id", "offset"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
-    table = materialise(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    table = materialise(pieces.withColumn(ITEM, F.monotonically_increasing_id()), "pieces")
     n, shortest = table.agg(F.count("*"), F.min("length")).first()
     if not n:
-        return table.drop("item").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    items, rounds = table.where(F.col("length") < capacity), []
-    parts = max(1, -(-n // items_a_partition))
+        return table.drop(ITEM).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    items, rounds = table.where(F.col("length") < capacity).select(F.col(ITEM).alias("item"), "length"), []
+    had = n
     nearly = int(capacity * slack)
     while True:
-        placed = materialise(_round(items, parts, capacity), f"round{len(rounds)}")
+        parts = max(1, -(-had // items_a_partition))
+        placed = materialise(_round(items, parts, capacity, len(rounds)), f"round{len(rounds)}")
         rounds.append(placed)
-        held = placed.groupBy("bin").agg(F.sum("length").alias("length"))
-        # A bin with less room than the shortest item still about can take nothing more.
-        open_bins = held.where((capacity - F.col("length") > nearly) & (capacity - F.col("length") >= shortest))
         if parts == 1:
             break
-        items = materialise(open_bins.withColumnRenamed("bin", "item"), f"open{len(rounds)}")
-        left, shortest = items.agg(F.count("*"), F.min("length")).first()
-        if left < 2:
+        held = materialise(placed.groupBy("bin").agg(F.sum("length").alias("length")), f"bins{len(rounds)}")
+        # A bin with less room than the shortest item still about can take nothing more.
+        items = held.where((capacity - F.col("length") > nearly) & (capacity - F.col("length") >= shortest)).withColumnRenamed("bin", "item")
+        (bins,), (left, shortest) = held.agg(F.count("*")).first(), items.agg(F.count("*"), F.min("length")).first()
+        if left < 2 or (len(rounds) > 1 and had - bins < least_gain * had):
             break
-        parts = max(1, min(parts // fan_in, -(-left // items_a_partition)))
+        had = left
     first, later = rounds[0], rounds[1:]
     if later:
-        # What happens to a bin of the first round later on; every step halves or better.
+        # What happens to a bin of the first round later on.
         chain = reduce(
             lambda done, r: done.join(r.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("at").alias("more")), "bin", "left").select(
                 "first", F.coalesce("up", "bin").alias("bin"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")
@@ -145,7 +149,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items_a_partition: int = I
         )
     else:
         moved = first.select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    return table.join(moved, "item", "left").withColumns({"sequence_id": F.coalesce("sequence_id", "item"), "offset": F.coalesce("offset", F.lit(0))}).drop("item")
+    whole = table.join(moved.withColumnRenamed("item", ITEM), ITEM, "left")
+    return whole.withColumns({"sequence_id": F.coalesce("sequence_id", ITEM), "offset": F.coalesce("offset", F.lit(0))}).drop(ITEM)
 
 
 def pack_documents(df: DataFrame, capacity: int = CAPACITY, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
