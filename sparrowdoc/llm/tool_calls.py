@@ -17,12 +17,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a turn taken as a call must look like.
-REPLY_SCHEMA = {
-    "type": "object",
-    "required": ["prompt", "turn"],
-    "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
-    "additionalProperties": False,
+#: The tools that chat turns are taken as calls of, and what their arguments must look like.
+SCHEMAS = {
+    "reply": {
+        "type": "object",
+        "required": ["prompt", "turn"],
+        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+        "additionalProperties": False,
+    },
+    "search": {
+        "type": "object",
+        "required": ["query", "limit"],
+        "properties": {
+            "query": {"type": "string", "minLength": 1},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 50},
+            "filters": {"type": "object", "required": ["exact"], "properties": {"exact": {"type": "boolean"}, "order": {"type": "string", "enum": ["best", "new"]}}},
+        },
+    },
+    "lookup": {"type": "object", "required": ["keys"], "properties": {"keys": {"type": "array", "items": {"type": "string"}}, "depth": {"type": "number", "minimum": 0, "maximum": 10}}},
 }
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -56,7 +68,26 @@ def problems(value: Any, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces, text as it is; half surrogate pairs, which UTF-8 can't hold,
+    stay escaped. Numbers that JSON doesn't know raise ValueError."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode("utf-8", "backslashreplace").decode()
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed(arguments: str | None, schema: dict | None) -> tuple[Any, list[str]]:
+    """The arguments' value and what is wrong with it. What is no JSON (NaN and infinities
+    too) or nested too deep to read stays the text it is; without a schema the tool is unknown."""
+    try:
+        value = json.loads(arguments, parse_constant=_no_number)
+        canonical([[[[value]]]])  # as deep as it stands in a chat
+        return value, problems(value, schema) if schema is not None else ["$: unknown tool"]
+    except RecursionError:
+        return arguments, ["$: nested too deep"]
+    except (TypeError, ValueError):
+        return arguments, ["$: not JSON"]
 
 
 def ordered(calls: list[dict]) -> tuple[list[dict], bool]:
@@ -90,15 +121,34 @@ def ordered(calls: list[dict]) -> tuple[list[dict], bool]:
 def turns_as_calls(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain chat rows ``df(conv_id, turn, role, text)``.
 
-    A user's turn t is a call "reply" with id "conv:t"; it depends on the one two
-    turns before. An assistant's turn is the result for the turn before it.
-    Turns of other roles are in :func:`other_turns`. Null texts become null
-    arguments or contents.
+    A user's turn t is a call with id "conv:t" that waits for the one two turns
+    before. With m = t + the text's length in code points, m mod 4 tells the tool:
+    reply, search, lookup, or translate, which has no schema. The whole text is in
+    the arguments; where m mod 11 is 5 the arguments are the bare text, which is no
+    JSON; a search's limit is m mod 60, as text where m mod 7 is 3; a lookup's depth
+    is m mod 14. Where m mod 13 is 1 the call also waits for the one two turns later,
+    which makes a cycle. An assistant's turn is the result of the turn before it, but
+    where m mod 17 is 2 it cites a call that isn't there. Turns of other roles are in
+    :func:`other_turns`. Null texts have length 0 and become null arguments or contents.
     """
     tag = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"), {"ignoreNullFields": "false"})
-    calls = df.where(F.col("role") == "user").select("conv_id", "turn", tag(0).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(tag(2)).alias("after"))
-    results = df.where(F.col("role") == "assistant").select("conv_id", "turn", tag(1).alias("call_id"), F.col("text").alias("content"))
+    m = F.coalesce("turn", F.lit(0)) + F.coalesce(F.char_length("text"), F.lit(0))
+    mod = lambda k: F.pmod(m, F.lit(k))
+    to_json = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    filters = F.struct((mod(2) == 1).alias("exact"), F.when(mod(3) == 0, "best").otherwise("new").alias("order")).alias("filters")
+    query, limit = F.col("text").alias("query"), mod(60)
+    search = F.when(mod(7) == 3, to_json(query, limit.cast("string").alias("limit"), filters)).otherwise(to_json(query, limit.alias("limit"), filters))
+    arguments = (
+        F.when(mod(11) == 5, F.col("text"))
+        .when(mod(4) == 0, to_json(F.col("text").alias("prompt"), "turn"))
+        .when(mod(4) == 1, search)
+        .when(mod(4) == 2, to_json(F.split("text", " ").alias("keys"), mod(14).alias("depth")))
+        .otherwise(to_json("text"))
+    )
+    name = F.element_at(F.array(*map(F.lit, ("reply", "search", "lookup", "translate"))), (mod(4) + 1).cast("int"))
+    after = F.when(mod(13) == 1, F.array(tag(2), tag(-2))).otherwise(F.array(tag(2)))
+    calls = df.where(F.col("role") == "user").select("conv_id", "turn", tag(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    results = df.where(F.col("role") == "assistant").select("conv_id", "turn", F.when(mod(17) == 2, tag(-1000)).otherwise(tag(1)).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -127,7 +177,7 @@ def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
     turn, call_id, content)``, ``messages(conv_id, turn, role, content)``: turns that
     are neither, kept in the chat by turn, role and content. Returns conv_id, n_calls, n_linked (calls with a
     result), n_orphan_calls, n_orphan_results, n_invalid (arguments that are no
-    JSON or break the schema of the tool, or unknown tools), n_messages, acyclic, call_order
+    JSON, nested too deep, or break the schema of the tool, or unknown tools), n_messages, acyclic, call_order
     (ids, comma-joined), chat (canonical JSON) and chat_sha256. Several results of
     one call are listed by turn and content; repeated calls stay separate, each with all results. A null
     call id is the id ""; rows of null conv_id link with nothing.
@@ -152,18 +202,13 @@ def format_chats(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],
                 continue
             call = x["call"] | {"call_id": x["call_id"]}
             row = call.pop("row")
-            held = found.setdefault((canonical(call), row), call | {"results": []})
+            held = found.setdefault((json.dumps(call, sort_keys=True), row), call | {"results": []})
             if result is not None:
                 held["results"].append(result)
         order, acyclic = ordered([found[k] for k in sorted(found)])
         rows, invalid = [], 0
         for c in order:
-            try:
-                arguments, wrong = json.loads(c["arguments"]), []
-            except (TypeError, ValueError):
-                arguments, wrong = c["arguments"], ["$: not JSON"]
-            if not wrong:
-                wrong = problems(arguments, schemas[c["name"]]) if c["name"] in schemas else ["$: unknown tool"]
+            arguments, wrong = parsed(c["arguments"], schemas.get(c["name"]))
             invalid += bool(wrong)
             by_turn = sorted(c["results"], key=lambda r: (r["turn"] is None, r["turn"] or 0, r["content"] or ""))
             rows.append({"id": c["call_id"], "name": c["name"], "arguments": arguments, "results": [r["content"] for r in by_turn], "errors": wrong})
