@@ -26,8 +26,6 @@ from .encoding import forget
 #: Labelled rows that a model is fitted on at most: half for the lexicon, the
 #: rest for trees and curve.
 SAMPLE_ROWS = 24_000
-#: Learned lexicon entries at most.
-LEXICON_ENTRIES = 2_000
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 48
 
 # Seed insults and second-person words of four languages.
@@ -238,11 +236,12 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(m):
         knots = np.linspace(-6, 6, 25)
         return knots, 1 / (1 + np.exp(-knots))
-    order = np.argsort(m, kind="stable")
+    # Rows of one margin are one point.
+    at, of = np.unique(m, return_inverse=True)
     blocks: list[list[float]] = []  # value, weight, first and last margin
-    for a, b in zip(m[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, 1.0, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+    for x, ones, rows in zip(at.tolist(), np.bincount(of, y).tolist(), np.bincount(of).tolist(), strict=True):
+        blocks.append([ones / rows, rows, x, x])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v, w, _, z = blocks.pop()
             last = blocks[-1]
             last[0] = (last[0] * last[1] + v * w) / (last[1] + w)
@@ -250,7 +249,7 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             last[3] = z
     knots = np.array([x for v, w, a, z in blocks for x in (a, z)])
     # A block of few rows says little: half a row of each label is added.
-    values = np.array([(v * w + 0.5 * s) / (w + 0.5) for v, w, *_ in blocks for s in (v >= 0.5,) for _ in range(2)])
+    values = np.array([(v * w + 0.5) / (w + 1) for v, w, *_ in blocks for _ in range(2)])
     return knots, np.maximum.accumulate(values)
 
 
@@ -269,8 +268,12 @@ def _entry_counts(df: DataFrame) -> DataFrame:
     return df.select("text", "toxic").mapInArrow(work, "entry binary, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(df: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[bytes, float]:
-    """Entries far more frequent in toxic than in clean texts, with their log ratio."""
+def learn_lexicon(df: DataFrame) -> dict[bytes, float]:
+    """Entries far more frequent in toxic than in clean texts, with their log ratio.
+
+    ``df`` is the bounded sample, so the entries of at least four of its toxic texts
+    have a bound too.
+    """
     n1, n0 = df.agg(F.coalesce(F.sum(F.col("toxic")), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n1 or not n0:
         return {}
@@ -278,8 +281,7 @@ def learn_lexicon(df: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[bytes,
     p = (F.col("toxic") + F.col("clean")) / (n1 + n0)
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     found = _entry_counts(df).where(F.col("toxic") >= 4).withColumns({"ratio": F.log(p1 / p0), "z": z}).where((F.col("ratio") > 1.6) & (F.col("z") > 4.5))
-    rows = found.orderBy(F.desc("z"), "entry").limit(entries).select("entry", "ratio").collect()
-    return {bytes(r["entry"]): float(r["ratio"]) for r in rows}
+    return {bytes(r["entry"]): float(r["ratio"]) for r in found.select("entry", "ratio").collect()}
 
 
 def _features(df: DataFrame, lexicon: dict[bytes, float], keep: str) -> DataFrame:
@@ -300,16 +302,19 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``sample_rows`` labelled rows of ``df(doc_id, text)``.
+    """Fits on at most ``sample_rows`` labelled documents of ``df(doc_id, text)``.
 
-    ``labels(doc_id, toxic)``; held-out ids, null ids and null labels are left
-    out; of several labels of a document the largest holds. The sample is the
-    rows whose ids hash lowest, so it is the same in every run.
+    ``labels(doc_id, toxic)``; held-out ids, null ids, null labels and labels of no
+    document are left out; of several labels of a document the largest holds, of
+    several texts the least (a null text is empty). The sample is the documents whose
+    ids hash lowest, so it is the same in every run.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(df.select("doc_id"), "doc_id", "left_semi")
     sample = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(20))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows rows of two numbers: its size has a bound.
-    rows = materialise(df.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxic-sample")
+    found = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = materialise(found.groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")), "toxic-sample")
     lexicon = learn_lexicon(rows.where(F.col("part") < 10))
     seen = _features(rows.where(F.col("part") >= 10), lexicon, "part toxic").collect()
     part, y = (np.array([r[c] for r in seen], float) for c in ("part", "toxic"))
@@ -320,10 +325,11 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Mod
     return model
 
 
-def score(df: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
+def score(df: DataFrame, model: Model, keep: str | list[str] = "doc_id") -> DataFrame:
     """(keep..., score) of each row of ``df``; a null text counts as empty, and no
-    column but the text goes into a score. Repeated rows get equal scores."""
-    columns = keep.split()
+    column but the text goes into a score. Repeated rows get equal scores. A column
+    ``score`` of ``df`` is replaced."""
+    columns = [c for c in (keep.split() if isinstance(keep, str) else keep) if c != "score"]
 
     def work(batches):
         forget()
@@ -333,6 +339,6 @@ def score(df: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
                 x = np.array([features_of(t, traits) for t in texts_of(b)]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(model.score(x))], names=[*columns, "score"])
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-    rows = df if "text" in columns else df.select(*columns, "text")
-    return rows.select(*dict.fromkeys([*columns, "text"])).mapInArrow(work, f"{kinds}, score double")
+    quoted = [f"`{c}`" for c in columns]
+    kinds = ", ".join(f"{q} {df.schema[c].dataType.simpleString()}" for c, q in zip(columns, quoted, strict=True))
+    return df.select(*dict.fromkeys([*quoted, "`text`"])).mapInArrow(work, f"{kinds}, score double")
