@@ -9,6 +9,8 @@ import pytest
 
 from sparrowdoc.llm import license_scan, line_dedup
 
+from .conftest import LICENSED
+
 WHITE = " \t\n\v\f\r"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -188,3 +190,58 @@ def test_scan_merges_neighbouring_diagonals(spark):
     assert by[1].labels == "mit" and len(by[1].spans) == 1 and 0.6 <= by[1].score < 1
     assert by[2].labels == "" and by[2].score == 0
     assert (by[3].n_base, by[3].first_word, by[3].last_word) == (2, 0, 2)
+
+
+def spans_by_hand(text, k=2, near=3, cover=0.6):
+    """The method's spans, from the words themselves: every diagonal of every pair of equal k-grams."""
+    words = license_scan.words_of(text)
+    out = []
+    for number, template in enumerate(license_scan.TEMPLATES, 1):
+        own = license_scan.words_of(template.text)
+        at = {}
+        for p in range(len(words) - k + 1):
+            for q in range(len(own) - k + 1):
+                if words[p : p + k] == own[q : q + k]:
+                    at.setdefault(p - q, []).append((p, q))
+        grams = len(own) - k + 1
+        if template.base:
+            out += [(number, d, d + len(own) - 1, 1.0) for d, x in at.items() if len(x) == grams]
+            continue
+        groups = []
+        for d in sorted(at):
+            if groups and d - groups[-1][-1] <= near and d - groups[-1][0] <= len(own):
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            hits = [x for d in g for x in at[d]]
+            part = len({q for _, q in hits}) / grams
+            if part >= cover:
+                out.append((number, min(p for p, _ in hits), max(p for p, _ in hits) + k - 1, part))
+    return sorted(out)
+
+
+def test_spans_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rnd.randint(1, 4)):
+            own = rnd.choice(license_scan.TEMPLATES).text.split() * rnd.randint(1, 2)
+            for _ in range(rnd.randint(0, 3)):
+                own.insert(rnd.randrange(len(own)), "word") if rnd.random() < 0.5 else own.pop(rnd.randrange(len(own)))
+            words += own + ["filler"] * rnd.randint(0, 5)
+        rows.append((i, " ".join(words)))
+    rows += [(500, "licensed under the " * 40 + "mit license"), (501, None), (502, "")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in rows:
+        assert [tuple(s) for s in got[i].spans] == spans_by_hand(text), text
+        assert got[i].n_words == len((text or "").split())
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, LICENSED)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    plan = license_scan.scan(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("hashpartitioning(row") == 1
