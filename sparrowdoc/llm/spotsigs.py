@@ -40,7 +40,7 @@ def words(text: Column) -> Column:
 
 
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, reach: int = REACH) -> DataFrame:
-    """Adds ``out``: the sorted set of signatures of ``text`` as array<int>.
+    """Adds ``out``: the sorted set of signatures of ``text`` as array<bigint>.
 
     A text without an anchor that has a whole chain gets one signature, the hash
     of the text itself, so only equal ones among such texts are alike. Null
@@ -53,16 +53,16 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, reac
         df.withColumn(w, words(F.coalesce(text, F.lit(""))))
         .withColumn(at, F.filter(F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(w, i).isin(ANCHORS)))
         .withColumn(out, F.transform(at, lambda i: F.struct(F.element_at(w, i).alias("a"), link(i).alias("c"))))
-        .withColumn(out, F.transform(F.filter(out, lambda s: F.size(s["c"]) == chain), lambda s: F.xxhash64(s["a"], F.array_join(s["c"], " ")).bitwiseAND(0x7FFFFFFF).cast("int")))
+        .withColumn(out, F.transform(F.filter(out, lambda s: F.size(s["c"]) == chain), lambda s: F.xxhash64(s["a"], F.array_join(s["c"], " "))))
         .withColumn(out, F.array_sort(F.array_distinct(out)))
-        .withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int"))))
+        .withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.xxhash64(F.coalesce(text, F.lit(""))))))
         .drop(w, at)
     )
 
 
 def fingerprint(signatures: str) -> Column:
     """The set as text: sorted hexadecimal signatures, comma-joined."""
-    return F.lower(F.array_join(F.transform(signatures, lambda x: F.hex(x.cast("long"))), ","))
+    return F.lower(F.array_join(F.transform(signatures, lambda x: F.hex(x)), ","))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -215,6 +215,7 @@ def test_edited_and_next(docs):
         assert abs(r.near_next - len(sets[i] & n) / len(sets[i] | n)) < 1e-12
     by = {r.doc_id: r.fingerprint for r in got}
     assert by[9] == by[12] and by[21] == by[24]
+    assert max(len(x) for s in sets for x in s) == 16  # 64 bits
 
 
 def test_windows_join_up(spark):
@@ -227,6 +228,7 @@ def test_windows_join_up(spark):
 
 
 def test_spotsigs_edge_cases(nothing, nulls):
+    assert spotsigs.near_duplicates(nothing).count() == 0 == spotsigs.near_duplicates(nulls).count()
     assert spotsigs.compare_edited(nothing).count() == 0
     assert len(spotsigs.compare_edited(nulls).collect()) == 3
 
