@@ -43,14 +43,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparrowdoc/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here.
 
-    Unlike a local checkpoint the copy survives a lost executor.
+    Unlike a local checkpoint the copy survives a lost executor. ``compression``
+    is a codec's name, for zstd with its level if need be (``zstd:9``).
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    codec, _, level = compression.partition(":")
+    df.write.options(**{"compression": codec, "parquet.compression.codec.zstd.level": level or "3"}).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found

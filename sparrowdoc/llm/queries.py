@@ -12,7 +12,7 @@ from .common import documents
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.decode_media(telephony.store_text(documents(spark, sf_dir)), pcm=False)
+    return telephony.store_and_decode(documents(spark, sf_dir))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     calls, results = tool_calls.turns_as_calls(turns)
-    return tool_calls.format_chats(calls, results, {"reply": tool_calls.REPLY_SCHEMA}, tool_calls.other_turns(turns))
+    return tool_calls.format_chats(calls, results, tool_calls.SCHEMAS, tool_calls.other_turns(turns))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,10 @@
 """Telephony audio in media columns: G.711 by lookup tables, ADPCM across blocks.
 
-A clip is a RIFF/WAVE file in a binary column, 8 kHz mono: mu-law (format 7),
-A-law (6) or IMA ADPCM (17). Decoding gives 16-bit PCM, resampled and stored
-as a WAVE file again. Companded bytes expand through tables of 256 entries;
-ADPCM steps through the samples of a block in order, but through all blocks of
-a batch at once.
+A clip is a RIFF/WAVE file in a binary column, mono: mu-law (format 7), A-law
+(6), IMA ADPCM (17) or 16-bit PCM (1). Decoding gives 16-bit PCM, at 16 kHz
+and stored as a WAVE file again. Companded bytes expand through tables of 256
+entries; ADPCM steps through the samples of a block in order, but through many
+blocks of a batch at once. Long clips are handled in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ import functools
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import materialise, rows_a_batch, slices
 
 MULAW, ALAW, IMA_ADPCM, PCM = 7, 6, 17, 1
 FORMATS = {"mulaw": MULAW, "alaw": ALAW, "ima_adpcm": IMA_ADPCM}
@@ -26,6 +27,12 @@ RATE = 8000
 #: Bytes of an ADPCM block, and the unit payloads are padded to.
 BLOCK = 576
 PAD = 255
+#: Bytes of payload that are decoded at a time.
+PIECE = 1 << 20
+#: Rows of an Arrow batch at most, as clips may be long.
+BATCH_ROWS = 1000
+#: Compression of stored media: zstd, and how hard.
+LEVEL = "zstd:9"
 
 
 @functools.cache
@@ -87,11 +94,14 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """8 kHz → 16 kHz: the samples and, between them, a 4-tap half-band estimate."""
+def resample_double(pcm: np.ndarray, before: int | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """The samples and, between them, a 4-tap half-band estimate: twice the rate. A piece of a
+    longer sound takes the sample before it and up to two after it; the ends repeat their last sample."""
     if not len(pcm):
         return pcm
-    x = np.pad(pcm.astype(np.int32), (1, 2), mode="edge")
+    after = pcm[:0] if after is None else after[:2]
+    x = np.concatenate([[pcm[0] if before is None else before], pcm, after]).astype(np.int32)
+    x = np.pad(x, (0, 2 - len(after)), mode="edge")
     between = np.clip(9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8 >> 4, -32768, 32767)
     out = np.empty(2 * len(pcm), "<i2")
     out[0::2], out[1::2] = pcm, between
@@ -110,17 +120,43 @@ def wave(data: bytes, kind: int, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def parse_wave(media: bytes) -> tuple[int, int, bytes]:
-    """(format, rate, data) of a WAVE file; chunks may come in any number."""
+@dataclass(frozen=True)
+class Clip:
+    kind: int
+    rate: int
+    block: int
+    data: bytes
+
+
+def parse_wave(media: bytes) -> Clip:
+    """Format, rate, block size and data of a WAVE file; chunks may come in any number.
+    ValueError says what of it isn't telephony audio."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, kind, rate = 12, 0, 0
+    at, form = 12, None
     while at + 8 <= len(media):
         name, (size,) = media[at : at + 4], struct.unpack_from("<I", media, at + 4)
         if name == b"fmt ":
-            kind, _, rate = struct.unpack_from("<HHI", media, at + 8)
+            if size < 16 or at + 24 > len(media):
+                raise ValueError("the format chunk is cut short")
+            form = struct.unpack_from("<HHIIHH", media, at + 8)
         elif name == b"data":
-            return kind, rate, media[at + 8 : at + 8 + size]
+            if form is None:
+                raise ValueError("no format before the data")
+            kind, channels, rate, _, block, bits = form
+            if kind not in (MULAW, ALAW, IMA_ADPCM, PCM) or (kind == PCM and bits != 16):
+                raise ValueError(f"format {kind} of {bits} bits is not telephony audio")
+            if channels != 1:
+                raise ValueError(f"{channels} channels")
+            if rate not in (RATE, 2 * RATE):
+                raise ValueError(f"rate {rate}")
+            if at + 8 + size > len(media):
+                raise ValueError("the data are cut short")
+            if kind == IMA_ADPCM and (block < 5 or size % block):
+                raise ValueError(f"{size} bytes are no ADPCM blocks of {block}")
+            if kind == PCM and size % 2:
+                raise ValueError("half a sample")
+            return Clip(kind, rate, block, media[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
     raise ValueError("no data in the WAVE file")
 
@@ -131,19 +167,27 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes([PAD]) * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
 
 
-def store_text(df: DataFrame, codec: str = "mulaw") -> DataFrame:
+CODECS = tuple(FORMATS)
+
+
+def codec_of(payload: bytes) -> str:
+    """The codec of a payload that may take any: by its checksum, so equal texts have the same."""
+    return CODECS[zlib.crc32(payload) % len(CODECS)]
+
+
+def store_text(df: DataFrame, codec: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text of ``df(doc_id, text)`` as a clip.
 
     The text's bytes are the clip's samples (mulaw, alaw) or ADPCM blocks,
-    unchanged, so nothing is lost. Null counts as the empty text.
+    unchanged, so nothing is lost; without a ``codec`` the text's bytes tell it.
+    Null counts as the empty text; repeated rows give repeated clips.
     """
-    kind = FORMATS[codec]
 
     def work(batches):
         for whole in batches:
             for b in slices(whole, "text"):
                 texts = b.column("text").to_pylist()
-                media = [wave(payload_of(t), kind) for t in texts]
+                media = [wave(p, FORMATS[codec or codec_of(p)]) for p in map(payload_of, texts)]
                 n = pa.array([len((t or "").encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -151,77 +195,136 @@ def store_text(df: DataFrame, codec: str = "mulaw") -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(work, f"doc_id {kind_of_id}, n_bytes long, media binary")
 
 
-def _decode(clips: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """8 kHz samples of clips; all ADPCM blocks of the list are decoded together."""
+def samples_of(clips: list[Clip]) -> list[np.ndarray]:
+    """The clips' 16-bit samples. ADPCM blocks of one size are decoded together, ``PIECE`` bytes at a time."""
     out: list = [None] * len(clips)
-    blocks, of = [], []
-    for i, (kind, data) in enumerate(clips):
-        raw = np.frombuffer(data, np.uint8)
-        if kind == MULAW:
+    blocks: dict[int, list] = {}
+    for i, c in enumerate(clips):
+        raw = np.frombuffer(c.data, np.uint8)
+        if c.kind == MULAW:
             out[i] = mulaw_table()[raw]
-        elif kind == ALAW:
+        elif c.kind == ALAW:
             out[i] = alaw_table()[raw]
-        elif kind == PCM:
-            out[i] = raw[: len(raw) & ~1].view("<i2")
-        elif kind == IMA_ADPCM:
-            whole = raw[: len(raw) // BLOCK * BLOCK].reshape(-1, BLOCK)
-            blocks.append(whole)
-            of.append((i, len(whole)))
+        elif c.kind == PCM:
+            out[i] = raw.view("<i2")
         else:
-            raise ValueError(f"format {kind} is not telephony audio")
-    if blocks:
-        pcm, at = decode_ima(np.concatenate(blocks)), 0
-        for i, n in of:
-            out[i] = pcm[at : at + n].ravel()
-            at += n
+            blocks.setdefault(c.block, []).append((i, raw.reshape(-1, c.block)))
+    for size, found in blocks.items():
+        every = np.concatenate([x for _, x in found])
+        step = max(1, PIECE // size)
+        pcm = np.concatenate([decode_ima(every[at : at + step]) for at in range(0, len(every), step)] or [np.empty((0, 2 * (size - 4) + 1), np.int16)])
+        at = 0
+        for i, x in found:
+            out[i] = pcm[at : at + len(x)].ravel()
+            at += len(x)
     return out
 
 
-def features(samples: np.ndarray, adpcm: np.ndarray, stored: bytes) -> str:
-    """What the decoded sound looks like, as short text: loudness and sign changes of
-    the samples, loudness of the same bytes read as ADPCM, checksum of the stored PCM."""
-    x = samples.astype(np.float64)
-    loud = np.sqrt(np.mean(x * x)) if len(x) else 0.0
-    turns = int(np.count_nonzero(np.signbit(samples[1:]) != np.signbit(samples[:-1])))
-    y = adpcm.astype(np.float64)
-    loud_adpcm = np.sqrt(np.mean(y * y)) if len(y) else 0.0
-    peak = int(np.abs(samples.astype(np.int32)).max()) if len(samples) else 0
-    return f"n={len(samples)};rms={loud:.3f};peak={peak};turns={turns};adpcm_rms={loud_adpcm:.3f};pcm16k_crc={zlib.crc32(stored):08x}"
+def features(clip: Clip, x: np.ndarray) -> str:
+    """What the decoded sound is like, as short text: format, number of samples, loudness
+    (of exact sums), peak and sign changes."""
+    pieces = range(0, len(x), PIECE)
+    energy = sum(int((x[a : a + PIECE].astype(np.int64) ** 2).sum()) for a in pieces)
+    peak = max((int(np.abs(x[a : a + PIECE].astype(np.int32)).max()) for a in pieces), default=0)
+    turns = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
+    return f"format={clip.kind};n={len(x)};rms={(energy / max(1, len(x))) ** 0.5:.3f};peak={peak};turns={turns}"
+
+
+def doubled(x: np.ndarray) -> np.ndarray:
+    """:func:`resample_double` of a long sound, piece by piece."""
+    parts = [resample_double(x[a : a + PIECE], x[a - 1] if a else None, x[a + PIECE : a + PIECE + 2]) for a in range(0, len(x), PIECE)]
+    return np.concatenate(parts) if parts else x.astype("<i2")
+
+
+def at_16k(clip: Clip, x: np.ndarray) -> np.ndarray:
+    """The samples at 16 kHz; 8 kHz sounds are resampled."""
+    return x.astype("<i2") if clip.rate == 2 * RATE else doubled(x)
 
 
-def decode_media(df: DataFrame, pcm: bool = True) -> DataFrame:
+def split_pcm(x: np.ndarray) -> tuple[bytes, bytes]:
+    """16-bit samples in two parts: every other one, and what the ones between differ from the
+    half-band estimate of these. Nothing is lost; what was resampled differs by 0."""
+    even = x[0::2]
+    estimate = doubled(even)[1::2][: len(x) // 2]
+    return even.astype("<i2").tobytes(), (x[1::2] - estimate).astype("<i2").tobytes()
+
+
+def join_pcm(even: bytes, rest: bytes) -> np.ndarray:
+    """The samples that :func:`split_pcm` split."""
+    e, r = np.frombuffer(even, "<i2"), np.frombuffer(rest, "<i2")
+    out = np.empty(len(e) + len(r), "<i2")
+    out[0::2] = e
+    out[1::2] = doubled(e)[1::2][: len(r)] + r
+    return out
+
+
+def decode_media(df: DataFrame, pcm: str | None = "wave") -> DataFrame:
     """Reads clips of ``df(doc_id, n_bytes, media)`` and decodes them.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the
-    last 32 bytes), media_bytes, media_sha256, feature, and with ``pcm`` the
-    16 kHz PCM as a WAVE file. A null clip gives nulls; other columns of
-    ``df`` are not read, and repeated rows give repeated results.
+    last 32 bytes), media_bytes, media_sha256, feature, error, and the 16 kHz PCM:
+    for ``pcm`` "wave" as a WAVE file ``pcm``, for "split" in the two parts ``pcm_even``
+    and ``pcm_rest`` of :func:`split_pcm`, which compress better. A clip that is no
+    mono telephony audio of 8 or 16 kHz has its own size and checksum, what is wrong
+    with it in ``error``, and nulls; a null clip gives nulls. Other columns of ``df`` are not read, repeated rows give
+    repeated results, an empty table gives none.
     """
+    sounds = {None: [], "wave": ["pcm"], "split": ["pcm_even", "pcm_rest"]}[pcm]
 
     def work(batches):
         for whole in batches:
             for b in slices(whole, "media"):
                 media = b.column("media").to_pylist()
-                parsed = [None if m is None else parse_wave(m) for m in media]
-                sound = [(k, d) for k, _, d in (p for p in parsed if p)]
-                samples = iter(_decode(sound))
-                as_blocks = iter(_decode([(IMA_ADPCM, d) for _, d in sound]))
+                clips, errors = [], []
+                for m in media:
+                    try:
+                        clip, error = (None, None) if m is None else (parse_wave(m), None)
+                    except ValueError as e:
+                        clip, error = None, str(e)
+                    clips.append(clip)
+                    errors.append(error)
+                sound = iter(samples_of([c for c in clips if c]))
                 rows = []
-                for m, p in zip(media, parsed, strict=True):
-                    if p is None:
-                        rows.append([None] * 7)
+                for m, c, error in zip(media, clips, errors, strict=True):
+                    file = [None, None] if m is None else [len(m), hashlib.sha256(m).hexdigest()]
+                    if c is None:
+                        rows.append([None, None, None, *file, None, error, *[None] * len(sounds)])
                         continue
-                    s = next(samples)
-                    stored = wave(resample_double(s).tobytes(), PCM, 2 * RATE)
-                    d = p[2]
-                    rows.append([len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(m), hashlib.sha256(m).hexdigest(), features(s, next(as_blocks), stored), stored if pcm else None])
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)][: 7 if pcm else 6]
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"][: len(cols)]
+                    x = next(sound)
+                    stored = () if pcm is None else split_pcm(at_16k(c, x)) if pcm == "split" else (wave(at_16k(c, x).tobytes(), PCM, 2 * RATE),)
+                    rows.append([len(c.data), hashlib.sha256(c.data).hexdigest(), zlib.crc32(c.data[-32:]), *file, features(c, x), None, *stored])
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.binary()] * len(sounds)]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", *sounds]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], names=["doc_id", "n_bytes", *names])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    more = ", pcm binary" if pcm else ""
+    more = "".join(f", {c} binary" for c in sounds)
     return df.select("doc_id", "n_bytes", "media").mapInArrow(
-        work, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{more}"
+        work, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string{more}"
     )
+
+
+def pcm_checksums(df: DataFrame) -> DataFrame:
+    """(all other columns, pcm_samples, pcm_crc32) of sounds ``df(pcm_even, pcm_rest, ...)`` read back and joined."""
+    others = [f for f in df.schema.fields if f.name not in ("pcm_even", "pcm_rest")]
+
+    def work(batches):
+        for whole in batches:
+            for b in slices(whole, "pcm_even"):
+                parts = zip(b.column("pcm_even").to_pylist(), b.column("pcm_rest").to_pylist(), strict=True)
+                found = [(None, None) if e is None else (len(x := join_pcm(e, r)), zlib.crc32(x.tobytes())) for e, r in parts]
+                cols = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), *cols], names=[*(f.name for f in others), "pcm_samples", "pcm_crc32"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return df.select(*(f"`{f.name}`" for f in others), "pcm_even", "pcm_rest").mapInArrow(work, f"{kinds}, pcm_samples long, pcm_crc32 long")
+
+
+def store_and_decode(df: DataFrame) -> DataFrame:
+    """Stores each text of ``df(doc_id, text)`` as a clip and each clip's 16 kHz PCM, in two tables of the
+    shared folder, and returns what :func:`decode_media` and :func:`pcm_checksums` read from them."""
+    with rows_a_batch(df.sparkSession, BATCH_ROWS):
+        media = materialise(store_text(df), "media", LEVEL)
+        sounds = materialise(decode_media(media, "split"), "sounds", LEVEL)
+    return pcm_checksums(sounds)
