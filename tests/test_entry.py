@@ -6,7 +6,7 @@ import __spark_entry__
 def test_names_agree():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 120
-    assert ("pipeline" in queries) == __spark_entry__.HAS_PIPELINE
+    assert ("pipeline" in queries) == (__spark_entry__.corpus_pipeline is not None)
 
 
 def test_entry(spark):
