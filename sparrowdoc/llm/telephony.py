@@ -32,7 +32,7 @@ PIECE = 1 << 20
 #: Rows of an Arrow batch at most, as clips may be long.
 BATCH_ROWS = 1000
 #: Compression of stored media: zstd, and how hard.
-LEVEL = "zstd:9"
+LEVEL = "zstd:12"
 
 
 @functools.cache
@@ -273,7 +273,7 @@ def decode_media(df: DataFrame, pcm: str | None = "wave") -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for b in slices(whole, "media"):
+            for b in slices(whole, "media", PIECE):
                 media = b.column("media").to_pylist()
                 clips, errors = [], []
                 for m in media:
@@ -311,7 +311,7 @@ def pcm_checksums(df: DataFrame) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for b in slices(whole, "pcm_even"):
+            for b in slices(whole, "pcm_even", PIECE):
                 parts = zip(b.column("pcm_even").to_pylist(), b.column("pcm_rest").to_pylist(), strict=True)
                 found = [(None, None) if e is None else (len(x := join_pcm(e, r)), zlib.crc32(x.tobytes())) for e, r in parts]
                 cols = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
