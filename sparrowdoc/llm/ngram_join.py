@@ -632,7 +632,13 @@ def _components(df: DataFrame, k: int, num: int, den: int, bits: int = 64) -> Da
     done = [members, wanted, texts, stars, links]
     while True:
         comp = named.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("label", "set").alias("comp"))
-        rows = rest.withColumn("ask", F.lit(True)) if asking is None else rest.join(asking.select("file").distinct(), "file", "left_semi").join(asking, ["file", "set"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        if asking is None:
+            rows = rest.withColumn("ask", F.lit(True))
+        else:
+            # A file may have many sets, so its rows aren't gathered by file where that can be helped.
+            files = asking.select("file").distinct()
+            rows = rest.join(F.broadcast(files) if files.count() <= SEND_IDS else files, "file", "left_semi")
+            rows = rows.join(asking, ["file", "set"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
         found = materialise(_open_pairs(rows.join(F.broadcast(comp) if small else comp, "set"), points, num, den, width, partitions), "ngram-pairs")
         new = found.where("NOT open").select("a", "b")
         if tested is not None:
