@@ -48,13 +48,17 @@ def with_overlap(c: Column, limit: int = SIZE) -> Column:
 
 def sliding(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows of as many words as fit ``size`` characters on average, overlapping likewise."""
-    words = F.filter(F.split(clean(c), " "), lambda w: w != "")
-    n = F.size(words)
-    mean = F.when(n > 0, F.char_length(F.array_join(words, "")) / n).otherwise(1.0)
-    width, back = F.floor(size / mean).cast("int"), F.floor(overlap / mean).cast("int")
-    step = F.greatest(width - back, F.lit(1))
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.greatest(width, F.lit(1))), " "))
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        mean = F.when(n > 0, F.char_length(F.array_join(words, "")) / n).otherwise(1.0)
+        width, back = F.floor(size / mean).cast("int"), F.floor(overlap / mean).cast("int")
+        step = F.greatest(width - back, F.lit(1))
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, step)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.greatest(width, F.lit(1))), " "))
+
+    # The words are the variable of a lambda, so the text is split once and not for every window.
+    return F.element_at(F.transform(F.array(F.filter(F.split(clean(c), " "), lambda w: w != "")), windows), 1)
 
 
 def explode_chunks(df: DataFrame, chunks: Column, key: str = "doc_id") -> DataFrame:

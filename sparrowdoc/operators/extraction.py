@@ -52,14 +52,14 @@ CONFIDENCE = {"text": 0.9, "number": 0.95, "date": 0.9, "email": 0.95, "phone":
 KEY_FIELDS = {"invoice": ["total_amount", "invoice_number", "due_date"], "resume": ["email", "phone", "years_experience"], "legal_contract": ["effective_date", "contract_value"]}
 
 
-def typed(raw: Column, kind: str) -> tuple[Column, Column, Column]:
-    """(text, number, date) of a found value; all null where it doesn't fit its kind."""
+def typed(raw: Column, kind: str, day: Column | None = None) -> tuple[Column, Column, Column]:
+    """(text, number, date) of a found value; all null where it doesn't fit its kind. ``day``: the value parsed as a date."""
     none_n, none_d = F.lit(None).cast("double"), F.lit(None).cast("date")
     if kind == "number":
         n = F.expr("try_cast(regexp_replace(raw, '[,$ ]', '') AS double)")
         return F.when(n.isNotNull(), raw), n, none_d
     if kind == "date":
-        day = X.parse_date(raw)
+        day = X.parse_date(raw) if day is None else day
         return F.date_format(day, "yyyy-MM-dd"), none_n, day
     if kind == "email":
         return F.when(X.is_email(raw), F.lower(raw)), none_n, none_d
@@ -69,18 +69,23 @@ def typed(raw: Column, kind: str) -> tuple[Column, Column, Column]:
     return F.when(F.trim(raw) != "", F.trim(raw)), none_n, none_d
 
 
-def extract(df: DataFrame, doc_type: str = "general") -> DataFrame:
+def extract(df: DataFrame, doc_type: str = "general", wanted: list[str] | None = None) -> DataFrame:
     """(doc_id, ord, name, value, value_num, value_date, confidence, method) of ``df(doc_id, content)``.
 
     ``ord`` numbers the values of a rule; values that don't fit their kind are left out.
+    Only the rules of the fields ``wanted`` are run, or all.
     """
-    rules = [*RULES.get(doc_type, ()), *RULES["common"]]
+    rules = [r for r in (*RULES.get(doc_type, ()), *RULES["common"]) if wanted is None or r.field in wanted]
+    kinds = [k for k in CONFIDENCE if any(r.kind == k for r in rules)]
     found = F.array(*[F.struct(F.lit(i).alias("rule"), X.find_all(F.col("content"), f"(?im){r.pattern}", r.group).alias("raws")) for i, r in enumerate(rules)])
     flat = df.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.rule", F.posexplode("f.raws").alias("ord", "raw"))
+    of_kind = lambda kind: F.col("rule").isin([i for i, r in enumerate(rules) if r.kind == kind])
+    # Parsed once, for the value and for the date.
+    flat = flat.withColumn("day", F.when(of_kind("date"), X.parse_date(F.col("raw"))) if "date" in kinds else F.lit(None).cast("date"))
     value = number = day = None
-    for kind in CONFIDENCE:
-        t, n, x = typed(F.col("raw"), kind)
-        is_kind = F.col("rule").isin([i for i, r in enumerate(rules) if r.kind == kind])
+    for kind in kinds:
+        t, n, x = typed(F.col("raw"), kind, F.col("day"))
+        is_kind = of_kind(kind)
         value, number, day = (F.when(is_kind, c) if old is None else old.when(is_kind, c) for old, c in ((value, t), (number, n), (day, x)))
     by_rule = lambda f: F.element_at(F.array(*[F.lit(f(r)) for r in rules]), F.col("rule") + 1)
     return flat.select(
@@ -96,7 +101,9 @@ def extract(df: DataFrame, doc_type: str = "general") -> DataFrame:
 
 
 def deduped(fields: DataFrame) -> DataFrame:
-    """One row for each document, name and value: the most confident; weak or blank ones go."""
+    """One row for each document, name and value: the most confident; weak or blank ones go.
+    Rows are gathered by document, which serves all that follows by document."""
+    fields = fields.repartition("doc_id")
     order = Window.partitionBy("doc_id", "name", "value").orderBy(F.desc("confidence"), "ord")
     return fields.where((F.col("confidence") >= 0.3) & (F.trim("value") != "")).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 

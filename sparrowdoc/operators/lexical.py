@@ -34,9 +34,12 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: chunks, mean length, vocabulary."""
-    lengths = chunk_lengths(chunks).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    vocabulary = chunks.select(F.explode(content_terms(F.col("content"))).alias("term")).agg(F.countDistinct("term").alias("vocabulary"))
-    return lengths.crossJoin(vocabulary)  # one row each
+    terms = chunks.select(content_terms(F.col("content")).alias("terms"))
+    # One pass: each chunk gives its terms, and a row of no term that carries its length.
+    rows = terms.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"), F.size("terms").alias("dl"))
+    by_term = rows.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("held"))
+    none = F.col("term").isNull()
+    return by_term.agg(F.coalesce(F.sum(F.when(none, F.col("n"))), F.lit(0)).alias("n_chunks"), F.sum(F.when(none, F.col("held") / F.col("n"))).alias("avgdl"), F.count("term").alias("vocabulary"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -140,9 +143,43 @@ def parse_queries(queries: DataFrame) -> DataFrame:
         F.when(has_not, plain(before_not)).otherwise(plain(rest)).alias("terms"),
         F.when(has_and, plain(rest)).otherwise(F.array().cast("array<string>")).alias("required"),
         F.when(has_not, plain(after_not)).otherwise(F.array().cast("array<string>")).alias("excluded"),
+        has_and.alias("all_of"),
     )
 
 
+def boolean_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, chunk_id, score, rank): a question parsed, its candidates found and scored by BM25, in one plan.
+
+    A chunk is a candidate if it holds a term, or a word of a phrase. With AND it must
+    hold every term and every phrase as it stands, after NOT none of the terms there.
+    Words of phrases are scored like other terms. ``only(doc_id)`` filters documents
+    after corpus numbers are taken. Questions without terms find nothing.
+    """
+    parsed = parse_queries(queries)
+    in_role = lambda c, r: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(r).alias("role")))
+    words = F.flatten(F.transform("phrases", content_terms))
+    roles = parsed.select("query_id", F.explode(F.concat(in_role("terms", "scored"), in_role(words, "scored"), in_role(F.array_distinct("required"), "required"), in_role(F.array_distinct("excluded"), "excluded"))).alias("r"))
+    terms = roles.groupBy("query_id", "r.term").agg(*[F.count_if(F.col("r.role") == r).alias(r) for r in ("scored", "required", "excluded")])
+    hits = matches(chunks, terms)
+    if only is not None:
+        hits = hits.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = hits.withColumn("w", bm25_weight()).join(terms, "term").groupBy("query_id", *KEY).agg(
+        F.round(F.sum(F.col("w") * F.col("scored")), 6).alias("score"), F.sum("required").alias("has"), F.sum("excluded").alias("bad")
+    )
+    must = parsed.select("query_id", F.size(F.array_distinct("required")).alias("wants"), F.when(F.col("all_of"), F.size(F.array_distinct("phrases"))).otherwise(0).alias("needs"))
+    phrases = parsed.where("all_of").select("query_id", F.explode(F.array_distinct("phrases")).alias("phrase")).select(F.struct("query_id", "phrase").alias("query_id"), "phrase")
+    held = phrase_search(chunks, phrases).groupBy("query_id.query_id", *KEY).agg(F.count("*").alias("held"))
+    good = found.join(must, "query_id").join(held, ["query_id", *KEY], "left").where((F.col("score") > 0) & (F.col("has") == F.col("wants")) & (F.col("bad") == 0) & (F.coalesce("held", F.lit(0)) == F.col("needs")))
+    return rank(good.select("query_id", *KEY, "score"), top_k)
+
+
+def header_boost(hits: DataFrame, chunks: DataFrame, factor: int = 2) -> DataFrame:
+    """``hits`` of :func:`search` with the score of title and header chunks of ``chunks(doc_id, chunk_id, kind)`` times ``factor``, ranked anew."""
+    boosted = hits.drop("rank").join(chunks.select(*KEY, "kind"), KEY, "left")
+    score = F.when(F.col("kind").isin("title", "header"), F.col("score") * factor).otherwise(F.col("score"))
+    return rank(boosted.withColumn("score", score).drop("kind"), 1 << 30)
+
+
 def suggestions(chunks: DataFrame, prefix: str, n: int = 10) -> DataFrame:
     """The most frequent terms that go on from ``prefix``."""
     terms = chunks.select(*KEY, F.explode(F.array_distinct(content_terms(F.col("content")))).alias("term"))

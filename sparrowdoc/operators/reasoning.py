@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sparrowdoc.functions import fields as X
 
-# Intent words and rules.
+# Intent words, and all patterns and weights of this block. Intent words are
+# matched as whole words by :func:`intents`, as Java and DuckDB have no common word border.
 INTENTS = {
     "calculation": "total|sum|calculate|add|subtract|multiply|divide|how much|how many|percentage",
     "comparison": "compare|vs|versus|difference|better|higher|lower|more|less",
@@ -21,9 +22,14 @@ INTENTS = {
 }
 STYLES = (("definition", ("what is", "what are", "define", "explain")), ("howto", ("how to", "how do", "how can")), ("feature", ("features", "capabilities", "functions", "can it")))
 LINE_ITEMS = (r"(\d+(?:\.\d{2})?)\s*(?:each|per|@)", r"quantity\s*:?\s*(\d+)", r"total\s*:?\s*\$?(\d+(?:\.\d{2})?)")
-TAX = {"subtotal": r"subtotal\s*:?\s*\$?(\d+(?:\.\d{2})?)", "rate": r"tax\s*(?:rate)?\s*:?\s*(\d+(?:\.\d+)?)\s*%", "amount": r"tax\s*(?:amount)?\s*:?\s*\$(\d+(?:\.\d{2})?)"}
+TAX = {"subtotal": r"subtotal\s*:?\s*\$?(\d+(?:\.\d{2})?)", "rate": r"tax\s*(?:rate)?\s*:?\s*(\d+(?:\.\d+)?)\s*%", "amount": r"tax\s*(?:amount)?\s*:?\s*\$?(\d+(?:\.\d{2})?)"}
+METHODS = (r"payment\s+method\s*:?\s*([^\n]+)", r"pay\s+by\s*:?\s*([^\n]+)")
+ASKED_SKILLS = tuple(rf"{word}\s+(?:in\s+|with\s+)?([^.!?]+)" for word in ("skill", "experience", "knowledge", "proficient", "familiar"))
+SKILLS = (r"skills?\s*:?\s*([^\n]+)", r"technologies?\s*:?\s*([^\n]+)", r"programming\s+languages?\s*:?\s*([^\n]+)", r"experience\s+with\s*:?\s*([^\n]+)")
 DUE = (r"due\s+(?:date\s*:?\s*)?(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})", r"payment\s+due\s*:?\s*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})", r"net\s+(\d+)\s+days?")
 OBLIGATIONS = r"(?:shall|must|will|agrees? to)\s+([^\n.]+)"
+#: The other obligation patterns, each with the group of what is owed.
+MORE_OBLIGATIONS = ((r"(responsible for|obligation to|duty to)\s+([^\n.]+)", 2), (r"(party\s+[AB]?)\s+(shall|must|will)\s+([^\n.]+)", 3))
 TERMS = {
     "contract_duration": r"term\s*:?\s*(\d+)\s+(?:years?|months?|days?)",
     "effective_date": r"effective\s+date\s*:?\s*([^\n]+)",
@@ -43,12 +49,20 @@ RULES = (
     ("legal", "obligation_analysis", 1, "obligation|responsibility|duty"),
     ("legal", "term_extraction", 2, "term|condition|requirement"),
 )
-EDUCATION = (r"(?:bachelor|master|phd|doctorate)\s+(?:of\s+|in\s+)?([^\n,]+)", r"(?:b\.?\s*[as]\.?|m\.?\s*[as]\.?|ph\.?\s*d\.?)\s+in\s+([^\n,]+)", r"degree\s+in\s+([^\n,]+)", r"graduated\s+from\s+([^\n,]+)")
-CLAUSES = r"((?:clause\s+\d+[a-z]?|section\s+\d+(?:\.\d+)?|article\s+\d+)\s*:?\s*[^\n]+)"
+EDUCATION = (r"(bachelor|master|phd|doctorate)\s+(?:of\s+|in\s+)?([^\n,]+)", r"(b\.?\s*[as]\.?|m\.?\s*[as]\.?|ph\.?\s*d\.?)\s+(?:in\s+)?([^\n,]+)", r"degree\s+in\s+([^\n,]+)", r"graduated\s+(?:from\s+)?([^\n,]+)")
+#: The group of what was studied, or where, in each of these.
+STUDIED = (2, 2, 1, 1)
+CLAUSES = (r"(clause\s+\d+[a-z]?)\s*:?\s*([^\n]+)", r"(section\s+\d+(?:\.\d+)?)\s*:?\s*([^\n]+)", r"(article\s+\d+)\s*:?\s*([^\n]+)")
 WEIGHTS = {"source": 0.2, "retrieval": 0.25, "reasoning": 0.2, "calculation": 0.15, "consensus": 0.2}
 PRIORS = {"invoice": 0.9, "contract": 0.9, "receipt": 0.8, "report": 0.8, "resume": 0.7}
 
 
+def question_fault(c: Column) -> Column:
+    """ok, or what is wrong with a question: none, of over 1000 characters, or of over 50 words."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(text == "", "empty").when(F.char_length(c) > 1000, "too_long").when(F.size(F.split(text, r"\s+")) > 50, "too_many_words").otherwise("ok")
+
+
 def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
@@ -98,22 +112,57 @@ def payment_terms(c: Column) -> Column:
 
 
 def experience_years(c: Column, now: int) -> Column:
-    """Stated years and year ranges, summed; an open end reaches to ``now``."""
+    """Stated years, year ranges and month/year ranges (in whole years), summed; an open end reaches to ``now``."""
+    months = r"(?i)(\d{1,2})/(\d{4})\s*[-–]\s*(\d{1,2})/(\d{4})"
+    part = [F.transform(X.find_all(c, months, g), lambda v: v.cast("long")) for g in (1, 2, 3, 4)]
+    ranges = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(part, "abcd", strict=True)]), lambda r: F.floor((12 * (r["d"] - r["b"]) + r["c"] - r["a"]) / 12))
+    # What is a range of months is no range of years.
+    c = F.regexp_replace(c, months, " ")
     stated = F.transform(X.find_all(c, r"(?i)(\d+)\s+years?\s+(?:of\s+)?experience", 1), lambda v: v.cast("long"))
     starts = X.find_all(c, r"(?i)(\d{4})\s*[-–]\s*(?:\d{4}|[a-z]+)", 1)
     ends = X.find_all(c, r"(?i)\d{4}\s*[-–]\s*(\d{4}|[a-z]+)", 1)
     spans = F.zip_with(starts, ends, lambda a, b: F.when(b.rlike(r"^\d+$"), b).otherwise(F.lit(str(now))).cast("long") - a.cast("long"))
-    return F.aggregate(F.concat(stated, spans), F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.aggregate(F.concat(stated, spans, ranges), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def education(c: Column) -> Column:
     """What a text says was studied or where, in the order of the patterns."""
-    return F.transform(F.flatten(F.array(*[X.find_all(c, f"(?i){p}", 1) for p in EDUCATION])), lambda v: F.trim(v))
+    return F.transform(F.flatten(F.array(*[X.find_all(c, f"(?i){p}", g) for p, g in zip(EDUCATION, STUDIED, strict=True)])), lambda v: F.trim(v))
 
 
 def clauses(c: Column) -> Column:
-    """Clause, section and article lines."""
-    return X.find_all(c, f"(?i){CLAUSES}", 1)
+    """(name, content) of clauses, then of sections, then of articles."""
+    return F.flatten(F.array(*[F.arrays_zip(X.find_all(c, f"(?i){p}", 1).alias("name"), F.transform(X.find_all(c, f"(?i){p}", 2), lambda v: F.trim(v)).alias("content")) for p in CLAUSES]))
+
+
+def obligations(c: Column) -> Column:
+    """What is owed, by the patterns in order: a text may be found by several."""
+    found = ((OBLIGATIONS, 1), *MORE_OBLIGATIONS)
+    return F.flatten(F.array(*[F.transform(X.find_all(c, f"(?i){p}", g), lambda v: F.trim(v)) for p, g in found]))
+
+
+def payment_method(c: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, f"(?i){p}", 1)), F.lit("")) for p in METHODS])
+
+
+def listed(c: Column, patterns: tuple[str, ...]) -> Column:
+    """Distinct comma-separated items after any of the patterns, trimmed, blanks left out."""
+    items = F.flatten(F.transform(F.flatten(F.array(*[X.find_all(c, f"(?i){p}", 1) for p in patterns])), lambda v: F.split(v, ",")))
+    return F.array_distinct(F.filter(F.transform(items, lambda v: F.trim(v)), lambda v: v != ""))
+
+
+def skills_asked(question: Column) -> Column:
+    return listed(F.lower(question), ASKED_SKILLS)
+
+
+def skills_offered(content: Column) -> Column:
+    return listed(content, SKILLS)
+
+
+def skills_matched(asked: Column, offered: Column) -> Column:
+    """(required, found) of the pairs in which one holds the other, whatever their case."""
+    pairs = F.flatten(F.transform(asked, lambda a: F.transform(offered, lambda o: F.struct(a.alias("required"), o.alias("found")))))
+    return F.filter(pairs, lambda p: F.contains(F.lower(p["found"]), F.lower(p["required"])) | F.contains(F.lower(p["required"]), F.lower(p["found"])))
 
 
 def evidence_strength(steps: DataFrame) -> DataFrame:

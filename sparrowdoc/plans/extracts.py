@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowdoc.functions import fields as X
 from sparrowdoc.operators import extraction as E
+from sparrowdoc.operators.reasoning import question_fault
 from sparrowdoc.plans.registry import register
 from sparrowdoc.sources.tables import clean_metadata, load, upload_problem
 
@@ -29,19 +30,19 @@ INVOICES = """(SELECT o_orderkey AS doc_id, 'Invoice #: INV-' || o_orderkey || c
 
 register(
     "extract_invoice_fields",
-    lambda s, d: E.extract(invoices(s, d), "invoice").where("name in ('invoice_number', 'total_amount', 'due_date')").select("doc_id", "name", "value", "value_num", F.col("value_date").cast("string").alias("value_date"), "confidence"),
+    lambda s, d: E.extract(invoices(s, d), "invoice", ["invoice_number", "total_amount", "due_date"]).select("doc_id", "name", "value", "value_num", F.col("value_date").cast("string").alias("value_date"), "confidence"),
     f"""SELECT doc_id, 'invoice_number' AS name, unnest(regexp_extract_all(content, '(?im)Invoice\\s*#?\\s*:?\\s*([A-Za-z0-9-]+)', 1)) AS value, NULL::DOUBLE AS value_num, NULL::VARCHAR AS value_date, 1.1 AS confidence FROM {INVOICES}
  UNION ALL SELECT doc_id, 'total_amount', v, replace(v, ',', '')::DOUBLE, NULL, 1.25 FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?im)Total\\s*:?\\s*\\$?\\s*([0-9,]+\\.?\\d*)', 1)) AS v FROM {INVOICES})
  UNION ALL SELECT doc_id, 'due_date', strftime(t, '%Y-%m-%d'), NULL, strftime(t, '%Y-%m-%d'), 1.1 FROM (SELECT doc_id, try_strptime(unnest(regexp_extract_all(content, '(?im)Due\\s*Date\\s*:?\\s*(\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{4}})', 1)), ['%m/%d/%Y', '%d/%m/%Y']) AS t FROM {INVOICES})""",
 )
 register(
     "extract_email",
-    lambda s, d: E.extract(docs(s, d).select("doc_id", F.col("text").alias("content"))).where("name = 'email'").select("doc_id", F.col("ord").cast("long").alias("ord"), "value"),
+    lambda s, d: E.extract(docs(s, d).select("doc_id", F.col("text").alias("content")), wanted=["email"]).select("doc_id", F.col("ord").cast("long").alias("ord"), "value"),
     f"SELECT doc_id, ord, lower(value) AS value FROM (SELECT doc_id, unnest(range(len(m))) AS ord, unnest(m) AS value FROM (SELECT doc_id, regexp_extract_all(text, '({X.EMAIL})', 1) AS m FROM documents))",
 )
 register(
     "extract_phone",
-    lambda s, d: E.extract(invoices(s, d)).where("name = 'phone'").select("doc_id", "value"),
+    lambda s, d: E.extract(invoices(s, d), wanted=["phone"]).select("doc_id", "value"),
     f"SELECT doc_id, regexp_replace(v, '\\D', '', 'g') AS value FROM (SELECT doc_id, unnest(regexp_extract_all(content, '({X.PHONE})', 1)) AS v FROM {INVOICES}) WHERE length(regexp_replace(v, '\\D', '', 'g')) BETWEEN 7 AND 15",
 )
 register(
@@ -133,7 +134,7 @@ register(
 )
 register(
     "validate_queries",
-    lambda s, d: load(s, d, "benchmark").select("item_id", F.when(F.trim("text") == "", "empty").when(F.char_length("text") > 1000, "too_long").when(F.size(F.split(F.trim("text"), r"\s+")) > 50, "too_many_words").otherwise("ok").alias("code")),
+    lambda s, d: load(s, d, "benchmark").select("item_id", question_fault(F.col("text")).alias("code")),
     "SELECT item_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 1000 THEN 'too_long' WHEN len(string_split_regex(trim(text), '\\s+')) > 50 THEN 'too_many_words' ELSE 'ok' END AS code FROM benchmark",
 )
 register(

@@ -210,10 +210,14 @@ register(
     lambda s, d: load(s, d, "documents").join(load(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("source").agg(F.round(F.avg((F.coalesce(F.col("quality").cast("double"), F.lit(0.5)) + F.least(F.char_length("text") / 500, F.lit(1.0)) + F.when(F.col("lang") == "en", 0.9).when(F.col("lang") == "fr", 0.8).otherwise(0.5)) / 3), 6).alias("reliability")),
     f"SELECT source, round(avg((coalesce(quality::DOUBLE, 0.5) + least(length(text) / 500, 1.0) + {_PRIOR}) / 3), 6) AS reliability FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
 )
+# In whole numbers (a value is a 40th of a quantity; means in ten-thousandths), so that no order of summing and no rounding of doubles shows.
+_MEAN = "(2 * sum(CAST(round(value * 40) AS BIGINT)) * 250 + count(*)) {div} (2 * count(*))"
+_SPREAD = "least(b * n - a * a, n * (n - 1) * 100000000)"
+_SHARE = "CASE WHEN n < 2 THEN 500000 ELSE (2 * (n * (n - 1) * 100000000 - {spread}) * 1000000 + n * (n - 1) * 100000000) {div} nullif(2 * n * (n - 1) * 100000000, 0) END / 1000000"
 register(
     "score_consensus",
-    lambda s, d: factors(s, d).groupBy("query_id", "l_suppkey").agg(F.avg("value").alias("m")).groupBy("query_id").agg(F.round(F.when(F.count("*") < 2, 0.5).otherwise(1 - F.least(F.var_samp("m"), F.lit(1.0))), 9).alias("consensus")),
-    f"SELECT query_id, round(CASE WHEN count(*) < 2 THEN 0.5 ELSE 1 - least(var_samp(m), 1.0) END, 9) AS consensus FROM (SELECT query_id, l_suppkey, avg(value) AS m FROM {FACTORS} GROUP BY ALL) GROUP BY query_id",
+    lambda s, d: factors(s, d).groupBy("query_id", "l_suppkey").agg(F.expr(_MEAN.format(div="div")).alias("m")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("m").alias("a"), F.sum(F.col("m") * F.col("m")).alias("b")).select("query_id", F.expr(_SHARE.format(spread=_SPREAD, div="div")).alias("consensus")),
+    f"SELECT query_id, {_SHARE.format(spread=_SPREAD, div='//')} AS consensus FROM (SELECT query_id, count(*) AS n, sum(m)::BIGINT AS a, sum(m * m)::BIGINT AS b FROM (SELECT query_id, l_suppkey, ({_MEAN.format(div='//')})::BIGINT AS m FROM {FACTORS} GROUP BY ALL) GROUP BY query_id)",
 )
 register(
     "engine_confidence",
@@ -300,7 +304,7 @@ def studied(s, d):
 
 register(
     "education",
-    lambda s, d: studied(s, d).select("c_custkey", F.array_join(R.education(F.col("content")), "|").alias("studied"), F.array_join(R.clauses(F.col("content")), "|").alias("clauses")),
+    lambda s, d: studied(s, d).select("c_custkey", F.array_join(R.education(F.col("content")), "|").alias("studied"), F.array_join(F.transform(R.clauses(F.col("content")), lambda x: F.concat_ws(": ", x["name"], x["content"])), "|").alias("clauses")),
     "SELECT c_custkey, c_mktsegment || '|school ' || c_nationkey AS studied, 'Clause 7a: pay ' || c_custkey AS clauses FROM customer",
 )
 register(

@@ -83,7 +83,18 @@ def digest(s, d, chunks):
 
 
 register("chunk_greedy", lambda s, d: digest(s, d, C.greedy), f"SELECT doc_id, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM {_GREEDY}")
-register("chunk_sentence_overlap", lambda s, d: digest(s, d, C.with_overlap))
+
+
+def overlap_sql(c: str) -> str:
+    """The chunks of :func:`with_overlap` as a fold."""
+    found = _SENT.replace("(text,", f"({c},")
+    fold = f"""list_reduce({found}, lambda acc, s: CASE WHEN acc['n'] > 0 AND acc['size'] + length(s) > 512 THEN {{'done': list_append(acc['done'], acc['open']), 'open': acc['last'] || ' ' || s, 'last': s, 'size': length(acc['last']) + length(s), 'n': 2}}
+ WHEN acc['n'] = 0 THEN {{'done': acc['done'], 'open': s, 'last': s, 'size': length(s), 'n': 1}} ELSE {{'done': acc['done'], 'open': acc['open'] || ' ' || s, 'last': s, 'size': acc['size'] + length(s), 'n': acc['n'] + 1}} END,
+ {{'done': []::VARCHAR[], 'open': '', 'last': '', 'size': 0::BIGINT, 'n': 0}})"""
+    return f"(SELECT CASE WHEN f['n'] = 0 THEN f['done'] ELSE list_append(f['done'], f['open']) END FROM (SELECT {fold} AS f))"
+
+
+register("chunk_sentence_overlap", lambda s, d: digest(s, d, C.with_overlap), f"SELECT doc_id, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM (SELECT doc_id, {overlap_sql('text')} AS c FROM documents)")
 _WORDS = f"list_filter(string_split({sql.clean('text')}, ' '), lambda w: w <> '')"
 register(
     "chunk_sliding_window",
