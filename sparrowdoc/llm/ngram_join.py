@@ -416,14 +416,18 @@ def _texts(df: DataFrame, reps: DataFrame, k: int, shared: frozenset[int] = froz
     return rows.join(sent(reps.select("set")), "set", "left_semi").dropDuplicates(["set"])
 
 
-def _hot(pairs: DataFrame) -> DataFrame | None:
-    """(hot, salts): the sets of more than ``HOT`` pairs, if any, and the groups that their pairs are dealt to."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("hot")).groupBy("hot").count().where(F.col("count") > HOT)
-    found = materialise(ends.select("hot", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "ngram-hot")
+def _hot(sets: DataFrame) -> DataFrame | None:
+    """(hot, salts): the sets of more than ``HOT`` rows ``(hot)``, if any, and the groups that their rows are dealt to."""
+    many = sets.groupBy("hot").count().where(F.col("count") > HOT)
+    found = materialise(many.select("hot", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "ngram-hot")
     n = found.count()
     return (F.broadcast(found) if n <= SEND_IDS else found) if n else None
 
 
+def _hot_ends(pairs: DataFrame) -> DataFrame | None:
+    return _hot(pairs.select(F.explode(F.array("a", "b")).alias("hot")))
+
+
 def _beside(pairs: DataFrame, sets: DataFrame, end: str, hot: DataFrame | None) -> DataFrame:
     """The pairs with the columns of ``sets(set, ...)`` for one of their ends, the columns' names
     marked by it. Hot sets stand once for each group of their pairs."""
@@ -621,7 +625,7 @@ def _components(df: DataFrame, k: int, num: int, den: int, bits: int = 64) -> Da
     texts = materialise(_texts(df, wanted, k, shared, bits), "ngram-texts")
     points = texts.select("set", "n", "point", "fine")
     stars = materialise(members.where(F.col("set") != F.col("head")).select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct(), "ngram-stars")
-    hot = _hot(stars)
+    hot = _hot_ends(stars)
     close = _within_bound(_within_bound(stars, points, num, den, hot), points, num, den, hot, "fine")
     links = materialise(_verified(close, texts, k, num, den, hot), "ngram-links")
     named = texts.select("set")
@@ -644,7 +648,7 @@ def _components(df: DataFrame, k: int, num: int, den: int, bits: int = 64) -> Da
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
         new = materialise(new, "ngram-new")
-        hot = _hot(new)
+        hot = _hot_ends(new)
         more = materialise(_verified(_within_bound(new, points, num, den, hot, "fine"), texts, k, num, den, hot), "ngram-links")
         done += [found, new, more]
         if more.limit(1).count():
@@ -659,7 +663,15 @@ def _components(df: DataFrame, k: int, num: int, den: int, bits: int = 64) -> Da
     labels = labels.withColumnRenamed("node", "set")
     least = reps.join(labels, "set").groupBy("label").agg(F.min("rep").alias("least"))
     smallest = reps.join(labels.join(least, "label"), "set", "left").select("set", F.coalesce("least", "rep").alias("smallest"))
-    out = sets.join(smallest, "set", "left")
+    hot = _hot(sets.select(F.col("set").alias("hot")))
+    if hot is None:
+        out = sets.join(smallest, "set", "left")
+    else:
+        # The rows of a text with many copies are dealt to several tasks.
+        salts, is_hot = F.coalesce("salts", F.lit(1)), F.col("set") == F.col("hot")
+        dealt = sets.join(hot, is_hot, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("hot", "salts")
+        copies = smallest.join(hot, is_hot, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("hot", "salts")
+        out = dealt.join(copies, ["set", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
