@@ -72,12 +72,10 @@ register(
 
 
 def probed(s: SparkSession, d: str) -> DataFrame:
-    """Neighbours by probing eight of the ten cells around the labels' mean vectors; every vector is filed."""
-    v = vectors(s, d)
-    centroids = vector.mean_vectors(v, "label").withColumnRenamed("label", "cell")
-    filed = vector.in_cells(v, centroids, 1).withColumn("cell", F.element_at("cells", 1))
-    asked = vector.in_cells(queries(s, d), centroids, 8)
-    return vector.knn(filed, asked, 10, probe=True).withColumn("rank", F.col("rank").cast("long"))
+    """Neighbours by 13 of 64 trained cells; every vector is filed in its three nearest."""
+    v = vectors(s, d).select("vec_id", "embedding")
+    centres = vector.train_cells(v)
+    return vector.knn(vector.in_cells(v, centres, 3), vector.in_cells(queries(s, d), centres, 13), 10, by_cell=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 register("knn_ivf", probed)

@@ -104,12 +104,32 @@ def test_knn_finds_itself(spark, sf):
     assert all(r.score > 0.999999 for r in top)
 
 
-def test_probing_recalls(spark, sf):
+def test_knn_is_dealt_alike(spark, sf):
+    v = tables.load(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    assert sorted(vector.knn(v, q, 5).collect()) == sorted(vector.knn(v, q, 5, query_block=4).collect())
+
+
+def test_knn_of_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", None), (None, [1.0, 0.0]), ("e", [1.0, 0.0, 0.0]), ("f", []), ("g", [float("nan"), 1.0]), ("h", [None, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    q = spark.createDataFrame([("x", [3.0, 0.0]), ("y", [0.0, 0.0]), ("z", [0.0, 0.0, 1.0])], "query_id string, embedding array<double>")
+    want = [("x", "a", 1.0, 1), ("x", "b", 1.0, 2), ("z", "e", 0.0, 1)]
+    assert sorted(map(tuple, vector.knn(v, q).collect())) == want
+    assert sorted(map(tuple, vector.knn(v, q, query_block=1).collect())) == want
+    assert vector.knn(v.limit(0), q).count() == 0 and vector.knn(v, q.limit(0)).count() == 0
+
+
+def test_probing_recalls(spark):
     from sparrowdoc.plans import registry
 
+    # Vectors without clusters to speak of, 13 of 64 cells.
+    sf = "/root/testdata/sf0.1"
     exact = registry.queries()["knn_exact"](spark, sf).select("query_id", "vec_id")
     probed = registry.queries()["knn_ivf"](spark, sf).select("query_id", "vec_id")
     assert exact.intersect(probed).count() / exact.count() >= 0.9
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert vector.in_cells(none, vector.train_cells(none), 3).count() == 0
 
 
 def test_edges_and_sources(spark, tmp_path):
