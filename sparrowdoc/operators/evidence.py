@@ -8,7 +8,7 @@ documents that no shared value connects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowdoc.functions import fields as X
@@ -17,6 +17,9 @@ PATTERNS = {"number": X.AMOUNT, "date": f"(?i){X.DATE}", "entity": X.ENTITY}
 # What looks like an identifier; case is ignored.
 REFERENCES = (r"(?:INV|INVOICE)[#-]?\s*[A-Za-z0-9_-]+", r"(?:REF|REFERENCE)[#-]?\s*[A-Za-z0-9_-]+", r"(?:ID|NUMBER)[#-]?\s*[A-Za-z0-9_-]+", r"[A-Z]{2,}\d{3,}")
 
+#: Values of a group whose pairs are counted by masks, and documents of a value that meet in one task.
+HOT, LANE = 8, 1024
+
 
 def values(docs: DataFrame, kind: str) -> DataFrame:
     """(group_id, doc_id, value), every occurrence."""
@@ -47,16 +50,23 @@ def references(docs: DataFrame) -> DataFrame:
     return docs.select("group_id", "doc_id", F.explode(F.array_distinct(F.transform(found, F.upper))).alias("ref"))
 
 
-def cross_references(docs: DataFrame) -> DataFrame:
-    """(group_id, a, b, n_shared): pairs of a group's documents with identifiers in common.
+def _met(held: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(group_id, value, a, b, and of both each column of ``keep``), a < b: a group's documents that hold the same value.
 
-    Only identifiers that some other document of the group has take part in the join.
+    ``held(group_id, doc_id, value)`` has each of them once. A value of many
+    documents is dealt to lanes of about ``LANE`` documents that all others visit.
     """
-    refs = references(docs)
-    common = refs.groupBy("group_id", "ref").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    kept = refs.join(common, ["group_id", "ref"])
-    a, b = kept.withColumnRenamed("doc_id", "a"), kept.withColumnRenamed("doc_id", "b")
-    return a.join(b, ["group_id", "ref"]).where("a < b").groupBy("group_id", "a", "b").agg(F.count("*").alias("n_shared"))
+    n = held.groupBy("group_id", value).agg(F.count("*").alias("n")).where("n > 1")
+    lanes = held.join(n, ["group_id", value]).withColumn("lanes", F.ceil(F.col("n") / LANE).cast("int")).drop("n")
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in keep]
+    a = lanes.select("group_id", value, F.pmod(F.xxhash64("doc_id"), F.col("lanes")).cast("int").alias("lane"), F.col("doc_id").alias("a"), *named("a"))
+    b = lanes.select("group_id", value, F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("doc_id").alias("b"), *named("b"))
+    return a.join(b, ["group_id", value, "lane"]).where("a < b").drop("lane")
+
+
+def cross_references(docs: DataFrame) -> DataFrame:
+    """(group_id, a, b, n_shared): pairs of a group's documents with identifiers in common."""
+    return _met(references(docs).distinct(), "ref").groupBy("group_id", "a", "b").agg(F.count("*").alias("n_shared"))
 
 
 def agreement(docs: DataFrame, kind: str) -> DataFrame:
@@ -74,6 +84,27 @@ def consensus(docs: DataFrame) -> DataFrame:
     return out.select("group_id", score.alias("score")).withColumn("level", F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low"))
 
 
+def _sharing(held: DataFrame) -> DataFrame:
+    """(group_id, s): how many pairs of a group's documents have a value in common, of distinct ``held(group_id, doc_id, value)``.
+
+    A document gets a mask of which of its group's ``HOT`` most frequent values it
+    holds; pairs that share one of these are counted by masks. Only pairs that
+    share none of them, but another value, are found one by one.
+    """
+    often = Window.partitionBy("group_id").orderBy(F.desc("c"), "value")
+    counted = held.groupBy("group_id", "value").agg(F.count("*").alias("c")).where("c > 1")
+    hot = counted.withColumn("bit", F.row_number().over(often) - 1).where(F.col("bit") < HOT).select("group_id", "value", "bit")
+    marked = held.join(hot, ["group_id", "value"], "left")
+    masks = marked.groupBy("group_id", "doc_id").agg(F.coalesce(F.bit_or(F.expr("shiftleft(1, bit)")), F.lit(0)).alias("mask"))
+    classes = masks.where("mask != 0").groupBy("group_id", "mask").agg(F.count("*").alias("n"))
+    a, b = classes.select("group_id", F.col("mask").alias("ma"), F.col("n").alias("na")), classes.select("group_id", F.col("mask").alias("mb"), F.col("n").alias("nb"))
+    by_mask = a.join(b, "group_id").where("ma <= mb and (ma & mb) != 0")  # a group has 2 ** HOT masks at most
+    first = by_mask.select("group_id", F.expr("if(ma = mb, na * (na - 1) div 2, na * nb)").alias("s"))
+    others = marked.where("bit is null").drop("bit").join(masks, ["group_id", "doc_id"])
+    more = _met(others, "value", ("mask",)).where("(a_mask & b_mask) = 0").select("group_id", "a", "b").distinct().select("group_id", F.lit(1).cast("long").alias("s"))
+    return first.unionByName(more).groupBy("group_id").agg(F.sum("s").alias("s"))
+
+
 def conflicts(docs: DataFrame) -> DataFrame:
     """(group_id, n_docs, mismatched_pairs, date_conflict).
 
@@ -83,12 +114,9 @@ def conflicts(docs: DataFrame) -> DataFrame:
     """
     nums = values(docs, "number").distinct()
     with_numbers = nums.groupBy("group_id").agg(F.countDistinct("doc_id").alias("n"))
-    common = nums.join(nums.groupBy("group_id", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["group_id", "value"])
-    a, b = common.withColumnRenamed("doc_id", "a"), common.withColumnRenamed("doc_id", "b")
-    sharing = a.join(b, ["group_id", "value"]).where("a < b").select("group_id", "a", "b").distinct().groupBy("group_id").agg(F.count("*").alias("s"))
     dates = values(docs, "date").groupBy("group_id").agg((F.countDistinct("value") > F.countDistinct("doc_id")).alias("date_conflict"))
     n = docs.groupBy("group_id").agg(F.countDistinct("doc_id").alias("n_docs"))
-    out = n.join(with_numbers, "group_id", "left").join(sharing, "group_id", "left").join(dates, "group_id", "left")
+    out = n.join(with_numbers, "group_id", "left").join(_sharing(nums), "group_id", "left").join(dates, "group_id", "left")
     pairs = F.coalesce((F.col("n") * (F.col("n") - 1) / 2).cast("long"), F.lit(0).cast("long")) - F.coalesce("s", F.lit(0))
     return out.select("group_id", "n_docs", pairs.alias("mismatched_pairs"), F.coalesce("date_conflict", F.lit(False)).alias("date_conflict"))
 

@@ -27,10 +27,17 @@ def upload_problem(name: Column, size: Column) -> Column:
     return F.when(most.isNull(), "type").when(size <= 0, "empty").when(size > most, "size")
 
 
-def clean_metadata(m: Column) -> Column:
-    """String metadata with tags taken out, keys cut at 100 and values at 1000 characters."""
+def clean_metadata(m: Column, lists: bool = False) -> Column:
+    """Metadata with tags taken out, keys cut at 100 and values at 1000 characters; with ``lists`` values are arrays and keep ten items.
+
+    Of keys that are equal after the cut the last one counts.
+    """
     cut = lambda c, n: F.substring(F.regexp_replace(c, "<[^>]+>", ""), 1, n)
-    return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(cut(e["key"], 100), cut(e["value"], 1000))))
+    value = lambda v: F.transform(F.slice(v, 1, 10), lambda x: cut(x, 1000)) if lists else cut(v, 1000)
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(cut(e["key"], 100).alias("key"), value(e["value"]).alias("value")))
+    # The place of a key's last entry, from 0, is what its entry must have.
+    last = lambda e: F.array_max(F.transform(entries, lambda o, i: F.when(o["key"] == e["key"], i)))
+    return F.map_from_entries(F.filter(entries, lambda e, i: last(e) == i))
 
 
 DOCUMENT = T.StructType(

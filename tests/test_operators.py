@@ -160,3 +160,26 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_merge_boxes(spark):
     b = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 5.0, 5.0, 15.0, 15.0), (1, 100.0, 100.0, 110.0, 110.0)], "page long, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r.n for r in chunking.merge_boxes(b).collect()) == [1, 2]
+
+
+def test_metadata_keys_that_become_equal(spark):
+    row = spark.sql("SELECT map('k' || repeat('x', 120), 'a', 'k' || repeat('x', 130), '<b>b', 'n', NULL) AS m, map('l', transform(sequence(1, 12), x -> '<i>' || x)) AS l, CAST(NULL AS map<string, string>) AS z")
+    got = row.select(tables.clean_metadata(F.col("m")).alias("m"), tables.clean_metadata(F.col("l"), lists=True).alias("l"), tables.clean_metadata(F.col("z")).alias("z")).first()
+    assert got.m == {"k" + "x" * 99: "b", "n": None}
+    assert got.l == {"l": [str(i) for i in range(1, 11)]} and got.z is None
+
+
+def test_pairs_of_hot_and_cold_values(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    docs = [(g, i, {rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(5))} | ({"hot"} if g and rng.random() < 0.6 else set())) for g in range(3) for i in range(25)]
+    held = spark.createDataFrame([(g, i, v) for g, i, vs in docs for v in vs], "group_id int, doc_id int, value string")
+    shared = {(g, a, b): len(x & y) for (g, a, x), (h, b, y) in itertools.combinations(docs, 2) if g == h and x & y}
+    for hot, lane in ((0, 1024), (2, 3), (8, 1024), (20, 2)):
+        monkeypatch.setattr(evidence, "HOT", hot)
+        monkeypatch.setattr(evidence, "LANE", lane)
+        assert {r.group_id: r.s for r in evidence._sharing(held).collect()} == {g: sum(k[0] == g for k in shared) for g in range(3)}
+    met = evidence._met(held, "value").groupBy("group_id", "a", "b").count().collect()
+    assert {(r.group_id, r.a, r.b): r["count"] for r in met} == shared
