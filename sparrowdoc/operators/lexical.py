@@ -94,7 +94,11 @@ def search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, weight: Colum
     ``only(doc_id)`` filters documents after corpus numbers are taken.
     """
     terms = query_terms(queries)
-    hits = matches(chunks, terms)
+    return ranked(matches(chunks, terms), terms, top_k, weight, only)
+
+
+def ranked(hits: DataFrame, terms: DataFrame, top_k: int, weight: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The result of :func:`search` from the hits of its terms, with document frequencies and corpus numbers."""
     if only is not None:
         hits = hits.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
     value = bm25_weight() if weight is None else weight

@@ -35,4 +35,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     """Imports the plan modules; each registers its queries."""
-    from sparrowdoc.plans import engine, evidence, extracts, hybrid, lexical, reasoning, streams, texts, vectors  # noqa: F401
+    from sparrowdoc.plans import engine, evidence, extracts, hybrid, indexes, lexical, reasoning, streams, texts, vectors  # noqa: F401

@@ -105,11 +105,6 @@ def read_binary(spark: SparkSession, path: str, extract: Callable[[str, bytes],
     return raw.mapInPandas(work, "doc_id string, content string, confidence double, error string")
 
 
-def write_index(df: DataFrame, path: str, by: str, partitions: int = 64) -> None:
-    """Persists an index table clustered by a key, sorted inside files so that row groups prune."""
-    df.repartitionByRange(partitions, by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
-
-
 def without_documents(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``df`` whose doc_id is not in ``gone``: deletion from any index table."""
     return df.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")

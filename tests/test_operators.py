@@ -9,6 +9,7 @@ from sparrowdoc.config import Config
 from sparrowdoc.functions import fields, text
 from sparrowdoc.operators import chunking, edges, evidence, extraction, fusion, lexical, reasoning, vector
 from sparrowdoc.sources import tables
+from sparrowdoc.sources.index import Index
 from sparrowdoc.streaming import events
 
 
@@ -183,3 +184,40 @@ def test_pairs_of_hot_and_cold_values(spark, monkeypatch):
         assert {r.group_id: r.s for r in evidence._sharing(held).collect()} == {g: sum(k[0] == g for k in shared) for g in range(3)}
     met = evidence._met(held, "value").groupBy("group_id", "a", "b").count().collect()
     assert {(r.group_id, r.a, r.b): r["count"] for r in met} == shared
+
+
+def test_index_by_batches(spark, tmp_path):
+    schema = "doc_id string, chunk_id int, content string, extra string"
+    chunks = lambda *rows: spark.createDataFrame([(d, c, t, "x") for d, c, t in rows], schema)
+    vectors = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, chunk_id int, embedding array<float>")
+    q = spark.createDataFrame([(1, "beta")], "query_id long, question string")
+    at = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    hits = lambda i: [(r.doc_id, r.chunk_id) for r in i.search(q).orderBy("rank").collect()]
+    path = str(tmp_path / "index")
+    index = Index.create(spark, path, chunks(("a", 0, "alpha beta"), ("b", 0, "gamma"), ("c#1", 2, "delta"), (None, 0, "epsilon"), ("e", 0, None)), vectors(("a", 0, [1.0, 0.0]), ("c#1", 2, [1.0, 1.0])))
+    assert hits(index) == [("a", 0)]
+    assert [(r.doc_id, r.chunk_id) for r in index.nearest(at).orderBy("rank").collect()] == [("a", 0), ("c#1", 2)]
+    assert [r.doc_id for r in index.nearest(at, only=spark.createDataFrame([("c#1",)], "doc_id string")).collect()] == ["c#1"]
+    # A batch that failed before its log: not read, and written over by the next.
+    spark.createDataFrame([("beta", "z", 0, 1, 1)], "term string, doc_id string, chunk_id int, dl long, tf long").write.parquet(f"{path}/postings/batch=1")
+    assert hits(index) == [("a", 0)]
+    index.add(chunks(("d", 0, "delta delta")))
+    assert hits(index) == [("a", 0)]
+    index.upsert(chunks(("a", 0, "zeta"), ("b", 1, "beta eta")), vectors(("b", 1, [0.0, 1.0])))
+    assert hits(Index(spark, path)) == [("b", 1)]
+    assert [(r.doc_id, r.score) for r in index.nearest(at).orderBy("rank").collect()] == [("c#1", 0.707107), ("b", 0.0)]
+    index.delete(spark.createDataFrame([("b",), ("unknown",), (None,)], "doc_id string"))
+    assert hits(index) == []
+    index.add(chunks(("b", 0, "beta")))
+    assert hits(index) == [("b", 0)]
+    small = index.compact(str(tmp_path / "compact"))
+    assert hits(small) == [("b", 0)] and small.history().count() == 1
+    s = index.stats().first()
+    assert (s.n_documents, s.n_chunks, s.n_vectors, s.n_batches) == (5, 6, 1, 5)
+    try:
+        Index.create(spark, path, chunks())
+        raise AssertionError("an index was written over")
+    except ValueError:
+        pass
+    none = Index.create(spark, str(tmp_path / "none"), chunks())
+    assert none.search(q).count() == 0 and none.nearest(at).count() == 0
