@@ -57,6 +57,10 @@ WEIGHTS = {"source": 0.2, "retrieval": 0.25, "reasoning": 0.2, "calculation": 0.
 PRIORS = {"invoice": 0.9, "contract": 0.9, "receipt": 0.8, "report": 0.8, "resume": 0.7}
 
 
+#: Wanted skills that an offered one is compared with at a time.
+SKILLS_A_BLOCK = 1000
+
+
 def question_fault(c: Column) -> Column:
     """ok, or what is wrong with a question: none, of over 1000 characters, or of over 50 words."""
     text = F.trim(F.coalesce(c, F.lit("")))
@@ -174,11 +178,15 @@ def evidence_strength(steps: DataFrame) -> DataFrame:
 def skill_match(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(doc_id, matched, percent): wanted skills that hold or are held by an offered one.
 
-    Substrings need every combination, so the wanted list, which comes from a
-    question and is short, goes to each offered skill.
+    Substrings need every combination, so each offered skill meets the wanted
+    ones in blocks of about ``SKILLS_A_BLOCK``; Spark sends the blocks to all
+    tasks only if they are small. Null skills match nothing.
     """
-    asked = wanted.agg(F.collect_set(F.lower("skill")).alias("asked"))
-    hits = offered.crossJoin(F.broadcast(asked)).select("doc_id", F.filter("asked", lambda a: F.contains(a, F.lower("skill")) | F.contains(F.lower("skill"), a)).alias("m"), F.size("asked").alias("n"))
+    each = wanted.select(F.lower("skill").alias("skill")).where("skill is not null").distinct()
+    n = each.agg(F.count("*").alias("n"))  # one row
+    asked = each.crossJoin(n).groupBy("n", F.pmod(F.xxhash64("skill"), F.ceil(F.col("n") / SKILLS_A_BLOCK)).alias("block")).agg(F.collect_list("skill").alias("asked"))
+    asked = n.join(asked.drop("n"), F.lit(True), "left").select("n", F.coalesce("asked", F.array().cast("array<string>")).alias("asked"))
+    hits = offered.crossJoin(asked).select("doc_id", F.filter("asked", lambda a: F.contains(a, F.lower("skill")) | F.contains(F.lower("skill"), a)).alias("m"), "n")
     flat = hits.groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("m"))).alias("m"))
     return flat.select("doc_id", F.size("m").cast("long").alias("matched"), F.round(100 * F.size("m") / F.greatest("n", F.lit(1)), 4).alias("percent"))
 

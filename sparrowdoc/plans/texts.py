@@ -8,6 +8,7 @@ from sparrowdoc.functions import text as T
 from sparrowdoc.operators import chunking as C
 from sparrowdoc.plans import sql
 from sparrowdoc.plans.registry import register
+from sparrowdoc.sources.office import word_layout
 from sparrowdoc.sources.tables import load
 
 docs = lambda s, d: load(s, d, "documents")
@@ -19,7 +20,15 @@ def md5(c):
 
 register("scan_documents", lambda s, d: docs(s, d).select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), "lang", "source", F.char_length("text").cast("long").alias("n")), "SELECT 'doc_' || doc_id AS id, lang, source, length(text) AS n FROM documents")
 register("clean_text", lambda s, d: docs(s, d).select("doc_id", md5(T.clean(F.col("text"))).alias("cleaned")), f"SELECT doc_id, md5({sql.clean('text')}) AS cleaned FROM documents")
-register("ocr_clean", lambda s, d: docs(s, d).select("doc_id", md5(T.ocr_clean(F.col("text"))).alias("cleaned")))
+_KEPT = f"""regexp_replace(regexp_replace(regexp_replace({sql.clean('text')}, '[^\\p{{L}}\\p{{N}}_\\s.,;:!?\\-()\\[\\]{{}}"''/$%&*+=<>]', ' ', 'g'), '\\bl\\b', 'I', 'g'), '\\b0\\b', 'O', 'g')"""
+# Splits at what may go, and puts it back where it stays.
+_COMMAS = "list_reduce(string_split(k, ','), lambda a, p: a || CASE WHEN regexp_matches(a, '[0-9]$') AND regexp_matches(p, '^[0-9]{3}([^0-9]|$)') THEN '' ELSE ',' END || p)"
+_HYPHENS = f"list_reduce(string_split({_COMMAS}, '- '), lambda a, p: a || CASE WHEN regexp_matches(a, '[\\p{{L}}\\p{{N}}_]$') AND regexp_matches(p, '^[\\p{{L}}\\p{{N}}_]') THEN '' ELSE '- ' END || p)"
+register(
+    "ocr_clean",
+    lambda s, d: docs(s, d).select("doc_id", md5(T.ocr_clean(F.col("text"))).alias("cleaned")),
+    f"SELECT doc_id, md5({sql.clean(_HYPHENS)}) AS cleaned FROM (SELECT doc_id, {_KEPT} AS k FROM documents)",
+)
 _CODE = " OR ".join(f"contains(lower(o), '{m}')" for m in T.CODE_MARKS)
 register(
     "answer_clean",
@@ -154,3 +163,50 @@ register(
     lambda s, d: docs(s, d).select("doc_id", md5(T.truncate(F.col("text"), 100)).alias("cut"), T.safe_filename(F.concat(F.col("source"), F.lit("/a:b?"))).alias("file"), F.sha2("text", 256).alias("sha"), T.format_bytes(F.col("n_chars")).alias("size")),
     "SELECT doc_id, md5(CASE WHEN length(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END) AS cut, regexp_replace(source || '/a:b?', '[<>:\"/\\\\|?*]', '_', 'g') AS file, sha256(text) AS sha, CASE WHEN n_chars < 1024 THEN round(n_chars::DOUBLE, 1)::VARCHAR || ' B' ELSE round(n_chars / 1024.0, 1)::VARCHAR || ' KB' END AS size FROM documents",
 )
+
+
+def word_files(s, d):
+    """Each document as a Word file: its lines as paragraphs, and a table of its language and source."""
+
+    def work(frames):
+        import io
+        import re
+        import zipfile
+        from html import escape
+
+        import pandas as pd
+
+        for pdf in frames:
+            made = []
+            for row in pdf.itertuples():
+                plain = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(re.sub(CONTROL, "", t or ""))}</w:t></w:r></w:p>'
+                lines = "".join(map(plain, (row.text or "").split("\n")))
+                table = f"<w:tbl><w:tr><w:tc>{plain(row.lang)}</w:tc><w:tc>{plain(row.source)}</w:tc></w:tr></w:tbl>"
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{table}{lines}</w:body></w:document>')
+                made.append((str(row.doc_id), out.getvalue()))
+            yield pd.DataFrame(made, columns=["path", "content"])
+
+    return docs(s, d).select("doc_id", "text", "lang", "source").mapInPandas(work, "path string, content binary")
+
+
+#: What XML can't hold, or changes.
+CONTROL = "[\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]"
+
+
+def word(s, d):
+    e = word_layout(word_files(s, d))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("header", "list", "paragraph", "table")]
+    return e.groupBy(F.col("path").cast("long").alias("doc_id")).agg(*counts, md5(F.array_join(texts, "\n")).alias("text_md5"))
+
+
+_LINES = f"list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F]', '', 'g'), chr(10)), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x{{85}}]'))"
+_KINDS = "list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^[\\s\\p{Z}]*[-*•]') THEN 'l' WHEN length(trim(x)) < 100 AND upper(x) = x AND lower(x) <> x THEN 'h' ELSE 'p' END)"
+register(
+    "docx_layout",
+    word,
+    f"""SELECT doc_id, len(list_filter(ks, lambda k: k = 'h')) AS n_headers, len(list_filter(ks, lambda k: k = 'l')) AS n_lists, len(list_filter(ks, lambda k: k = 'p')) AS n_paragraphs, 1 AS n_tables,
+ md5(array_to_string(list_append(ls, trim(coalesce(lang, '')) || chr(9) || trim(coalesce(source, ''))), chr(10))) AS text_md5 FROM (SELECT *, {_KINDS} AS ks FROM (SELECT doc_id, lang, source, {_LINES} AS ls FROM documents))""",
+)

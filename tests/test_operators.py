@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparrowdoc.config import Config
 from sparrowdoc.functions import fields, text
 from sparrowdoc.operators import chunking, edges, evidence, extraction, fusion, lexical, reasoning, vector
-from sparrowdoc.sources import tables
+from sparrowdoc.sources import office, tables
 from sparrowdoc.sources.index import Index
 from sparrowdoc.streaming import events
 
@@ -221,3 +221,41 @@ def test_index_by_batches(spark, tmp_path):
         pass
     none = Index.create(spark, str(tmp_path / "none"), chunks())
     assert none.search(q).count() == 0 and none.nearest(at).count() == 0
+
+
+def word_file(body, styles=None):
+    import io
+    import zipfile
+
+    out, ns = io.BytesIO(), 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        if styles:
+            z.writestr("word/styles.xml", f"<w:styles {ns}>{styles}</w:styles>")
+    return out.getvalue()
+
+
+def test_word_files(spark, tmp_path):
+    p = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    c = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(t)}</w:tc>"
+    table = f"<w:tbl><w:tr>{c('a', '<w:gridSpan w:val=\"2\"/>')}{c('b', '<w:vMerge w:val=\"restart\"/>')}</w:tr><w:tr>{c('1')}{c('2')}{c('', '<w:vMerge/>')}</w:tr></w:tbl>"
+    body = table + p("Intro", '<w:pPr><w:pStyle w:val="H"/></w:pPr>') + p("TOTALS") + p("- item") + p("  ") + "<w:p><w:r><w:t>one</w:t><w:tab/><w:t>two</w:t></w:r></w:p>"
+    data = word_file(body, '<w:style w:styleId="H"><w:name w:val="heading 1"/></w:style>')
+    files = spark.createDataFrame([("a", data), ("b", b"no zip"), ("c", word_file("")), ("d", word_file("").replace(b"w:body", b"w:bodx"))], "path string, content binary")
+    got = [tuple(r) for r in office.word_layout(files).orderBy("path", "position").collect()]
+    assert [r[1:4] for r in got if r[0] == "a"] == [(0, "header", "Intro"), (1, "header", "TOTALS"), (2, "list", "- item"), (3, "paragraph", "one\ttwo"), (4, "table", "a\ta\tb\n1\t2\tb")]
+    assert got[4][6:8] == (2, 3) and got[0][5] == "heading 1"
+    assert [r[0] for r in got[5:] if r[8]] == ["b", "d"] and not [r for r in got if r[0] == "c"]
+    (tmp_path / "x.docx").write_bytes(data)
+    assert tables.read_binary(spark, str(tmp_path), office.word_text).first().content.startswith("Intro\nTOTALS")
+
+
+def test_engines_in_order():
+    bad, poor, good = lambda p, b: 1 / 0, lambda p, b: ("?!" * 20, 0.9), lambda p, b: ("some readable text", 0.8)
+    assert office.first_good(bad, poor, good)("x", b"") == ("some readable text", 0.8)
+    for engines in ((bad, poor), ()):
+        try:
+            office.first_good(*engines)("x", b"")
+            raise AssertionError("no engine was good enough")
+        except ValueError as e:
+            assert "quality too low" in str(e) or str(e) == "no engine"
