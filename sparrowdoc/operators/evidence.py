@@ -40,8 +40,18 @@ def date_overlaps(docs: DataFrame) -> DataFrame:
 
 
 def numeric_patterns(docs: DataFrame) -> DataFrame:
+    """(group_id, n, least, most, mean) of all numbers of a group, to four places.
+
+    The mean is summed and rounded in decimals, so that neither the order of
+    the rows nor a mean that ends in a five decides its last digit; numbers
+    beyond 14 digits before the point are averaged as doubles.
+    """
     x = F.expr(r"try_cast(regexp_replace(value, '[₹$€£¥,\\s]', '') AS double)")
-    return values(docs, "number").withColumn("x", x).groupBy("group_id").agg(F.count("x").alias("n"), F.round(F.min("x"), 4).alias("least"), F.round(F.max("x"), 4).alias("most"), F.round(F.avg("x"), 4).alias("mean"))
+    counted = values(docs, "number").withColumn("x", x).withColumn("d", F.expr("try_cast(x AS decimal(20, 6))")).groupBy("group_id")
+    summed = counted.agg(F.count("x").alias("n"), F.count("d").alias("of"), F.expr("try_sum(d)").alias("d"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    exact = F.when(F.col("of") == F.col("n"), F.expr("try_divide(d, try_cast(n AS decimal(10, 0)))"))
+    mean = F.coalesce(F.round(exact, 4).cast("double"), F.round("mean", 4))
+    return summed.select("group_id", "n", F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), mean.alias("mean"))
 
 
 def references(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ register(
 register(
     "numeric_patterns",
     lambda s, d: V.numeric_patterns(groups(s, d)),
-    f"SELECT group_id, count(x) AS n, round(min(x), 4) AS least, round(max(x), 4) AS most, round(avg(x), 4) AS mean FROM (SELECT group_id, {_X} AS x FROM {vals('number')}) GROUP BY group_id",
+    f"SELECT group_id, n, least, most, sign(s) * ((2 * abs(s) + 100 * n) // (200 * n))::DOUBLE / 10000 AS mean FROM (SELECT group_id, count(x) AS n, round(min(x), 4) AS least, round(max(x), 4) AS most, sum((x::DECIMAL(20, 6) * 1000000)::HUGEINT) AS s FROM (SELECT group_id, {_X} AS x FROM {vals('number')}) GROUP BY group_id)",
 )
 register(
     "cross_references",
