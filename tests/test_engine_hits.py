@@ -55,6 +55,11 @@ def test_phrases_by_each_anchor(spark):
     assert sorted((r.query_id, r.doc_id) for r in lexical.boolean_search(more, q).collect()) == [(1, 1), (2, 3)]
 
 
+def test_results_of_phrases_within_longer_words(spark, small):
+    names, found = same(spark, small, "engine_results")
+    assert {("4", "Document 1"), ("9", "Document 5"), ("14", "Document 9")} <= {(r[names.index("query_id")], r[names.index("title")]) for r in found}
+
+
 def test_rerank_score_is_rounded_once(spark, small, monkeypatch):
     # Products that end in a five at the fifth place, or nearly so.
     scores = [i / 1e6 for i in range(1_000_003, 1_400_003, 97)] + [9.012125, 2.528375]
